@@ -41,8 +41,8 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST_EPOCHS,
     return stepped.withColumn("level", F.coalesce(first, F.lit(float("inf")))).select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, share: float = SHARE, most: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of documents, and the columns of `carry`.
+def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = SHARE, most: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, key for each row of documents.
 
     A source's budget buys whole epochs first: every document once for each. What is left buys documents in the
     order of the keys -ln(u) / weight, u from a hash of doc_id, as long as taking the next one brings the words
@@ -52,8 +52,8 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = SHARE, mos
     Null text has no words; null source is a source, the last; null doc_id has a key as any other. Repeated rows
     are documents by themselves; ties go by doc_id, then size. A source without words has target 0. Empty table:
     no rows."""
-    weight = F.lit(1.0) if weight is None else weight
-    rows = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), (-F.log(uniform("doc_id")) / weight).alias("key"), *carry))
+    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    rows = quality_weight(sized, labels).select("doc_id", "source", "size", (-F.log(uniform("doc_id")) / F.col("weight")).alias("key"))
     rows = rows.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * PARTS))
     sums = cut(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
     budget = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), share, most, weights)
@@ -63,17 +63,19 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = SHARE, mos
     a, b = sums.withColumn("before", before), budget.withColumnRenamed("source", "of")
     plan = cut(a.join(b, a["source"].eqNullSafe(b["of"])).drop("of").withColumnRenamed("source", "plan_source").withColumnRenamed("part", "plan_part"))
     with_plan = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]) & (rows["part"] == plan["plan_part"]))
-    out = ["doc_id", "size", "source_size", "target"]
+    out = ["doc_id", "source", "size", "source_size", "target", "key", "epochs"]
     ends_here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") > F.col("rest"))
     whole = with_plan.where(~ends_here).withColumn("extra", (F.col("before") + F.col("part_size") <= F.col("rest")) & (F.col("rest") > 0))
     running = F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     ending = with_plan.where(ends_here).withColumn("extra", F.col("before") + running - F.col("size") / 2 <= F.col("rest"))
-    taken = F.col("size") * (F.col("epochs") + F.col("extra").cast("long"))
-    return whole.unionByName(ending).select(*out, taken.alias("taken"), F.expr("epochs + cast(extra as long)").alias("copies"), *carry)
+    whole = whole.select(*out, "extra").unionByName(ending.select(*out, "extra"))
+    return whole.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("extra").cast("long")))
 
 
-def quality_weight(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
-    """docs with the quality label of its row, if it has one, and the weight that follows from it."""
-    label = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality")).withColumnRenamed("doc_id", "_labelled")
-    weight = F.when(F.col("_quality") == 1, QUALITY[1]).when(F.col("_quality") == 0, QUALITY[0]).otherwise(QUALITY[None])
-    return docs.join(label, docs["doc_id"] == label["_labelled"], "left"), weight
+def quality_weight(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds `weight`, which follows from the quality label of the document, if it has one."""
+    if labels is None:
+        return docs.withColumn("weight", F.lit(QUALITY[None]))
+    label = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
+    weight = F.when(F.col("quality") == 1, QUALITY[1]).when(F.col("quality") == 0, QUALITY[0]).otherwise(QUALITY[None])
+    return docs.join(label, docs["doc_id"] == label["labelled"], "left").withColumn("weight", weight).drop("labelled", "quality")

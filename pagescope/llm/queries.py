@@ -19,8 +19,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, weight = mixing.quality_weight(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, weight).select("doc_id", "size", "source_size", "target", "taken")
+    found = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
