@@ -20,7 +20,7 @@ PREFIXES, BITS = (4, 5, 6), 20
 EPOCHS, RATE, RIDGE = 200, 0.05, 1e-4
 #: Features in use: those whose shares of toxic and of unlabelled texts differ by Z_SCORE standard errors, the
 #: FEATURES with the largest differences at most.
-Z_SCORE, FEATURES = 4.0, 4096
+Z_SCORE, FEATURES = 3.0, 4096
 #: Prior of the toxic class where labels can't tell.
 PRIOR = 0.1
 
