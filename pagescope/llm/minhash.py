@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from .components import components
 
 #: Hash functions of a signature, at most 256, and rows of a band.
 FUNCTIONS, BAND_ROWS = 100, 5
-#: Pairs of one verification group, and classes of one block of a bucket.
-GROUP_PAIRS, BLOCK = 1000, 2000
+#: Pairs of one verification group; classes and shingles of one block of a bucket.
+GROUP_PAIRS, BLOCK, BLOCK_SHINGLES = 1000, 2000, 400_000
 #: Standard errors below the threshold at which the signatures' estimate rules a pair out.
 MARGIN = 5.0
 
@@ -124,36 +125,91 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return dealt_rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _plausible(rows: DataFrame, functions: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (bucket, set_key, component, n_shingles, signature) that share a bucket and no
-    component, and whose sizes and signatures allow the threshold. Buckets are compared in blocks of about BLOCK
-    classes each; only plausible pairs are emitted."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """set_key and body: the text, compressed for its way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["set_key"], pa.array([squeeze.compress(t.as_py().encode()) for t in batch["text"]], pa.binary())], ["set_key", "body"])
+
+    return texts.select("set_key", "text").mapInArrow(run, "set_key long, body binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows of equal `names`, which lie together, group by group."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        place = np.stack([batch[c].to_numpy() for c in names], 1)
+        edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            if start == end:
+                continue
+            if held and place[start].tolist() != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = place[start].tolist()
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _across(rows: DataFrame, words: int, percent: int, functions: int, band_rows: int) -> DataFrame:
+    """Links (a, b) that join classes of different components, of rows (bucket, band, head, set_key, component,
+    n_shingles, signature, body). A bucket is compared in blocks of bounded size, in the task, on full sets; a pair
+    in the first bucket that it shares only. Pairs whose sizes or signatures rule the threshold out, and pairs that
+    links found in the block have joined meanwhile, are skipped. So a block emits fewer links than it has classes."""
     t = percent / 100
     least = functions * t - MARGIN * np.sqrt(functions * t * (1 - t))
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocked = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("set_key", "bucket"), F.col("blocks")).cast("int"))
-    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set_key", "component", "n_shingles", "signature")
-
-    def pairs(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(group)).combine_chunks()
-        key, component, size, own = (table[c].to_numpy() for c in ("set_key", "component", "n_shingles", "own"))
-        signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(len(key), functions)
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        left = np.flatnonzero(own == low)
-        right = left if low == high else np.flatnonzero(own == high)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in left.tolist():
-            others = right[right > i] if low == high else right
-            others = others[component[others] != component[i]]
-            others = others[np.minimum(size[others], size[i]) >= t * np.maximum(size[others], size[i])]
-            if len(others):
-                others = others[(signed[others] == signed[i]).sum(1) >= least]
-                found.append(np.stack([np.minimum(key[others], key[i]), np.maximum(key[others], key[i])], 1))
-        both = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return spread.groupBy("bucket", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for table in _groups(batches, ("bucket", "low", "high")):
+            key, part, size, own = (table[c].to_numpy() for c in ("set_key", "component", "n_shingles", "own"))
+            band, head, alone = table["band"][0].as_py(), table["head"][0].as_py(), table["low"][0].as_py() == table["high"][0].as_py()
+            signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(len(key), functions)
+            sets: dict[int, np.ndarray] = {}
+
+            def of(i: int, bodies: pa.ChunkedArray = table["body"], sets: dict[int, np.ndarray] = sets) -> np.ndarray:
+                if i not in sets:
+                    text = np.frombuffer(open_.decompress(bodies[i].as_py()), np.uint8)
+                    sets[i] = shingle_sets(text, np.array([0, len(text)]), words)[0]
+                return sets[i]
+
+            label = np.unique(part, return_inverse=True)[1]
+            found: list[tuple[int, int]] = []
+            for i in range(len(key)):
+                others = np.arange(i + 1, len(key))
+                others = others[(label[others] != label[i]) & (alone | (own[others] != own[i]))]
+                others = others[(key[others] != head) & (key[i] != head)]
+                others = others[np.minimum(size[others], size[i]) >= t * np.maximum(size[others], size[i])]
+                if not len(others):
+                    continue
+                same = signed[others] == signed[i]
+                before = same[:, : band * band_rows].reshape(len(others), band, band_rows).all(2).any(1)
+                others = others[(same.sum(1) >= least) & ~before]
+                if not len(others):
+                    continue
+                mine = of(i)
+                theirs = [of(j) for j in others.tolist()]
+                ends = np.cumsum([len(x) for x in theirs])
+                whole = np.concatenate(theirs)
+                at = np.minimum(np.searchsorted(mine, whole), len(mine) - 1)
+                hit = np.concatenate([[0], np.cumsum(mine[at] == whole)])
+                both = hit[ends] - hit[np.concatenate([[0], ends[:-1]])]
+                for j in others[100 * both >= percent * (size[others] + size[i] - both)].tolist():
+                    if label[j] != label[i]:
+                        found.append((int(key[i]), int(key[j])))
+                        label[label == label[j]] = label[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, functions: int = FUNCTIONS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -161,8 +217,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
 
     Equal sets are one class. Each class is compared with the first class of each of its buckets (two classes
     share a bucket if the signatures agree on a band) on full sets; links join classes to components. Where a
-    bucket then still has classes of several components, the pairs across components are compared too, so that
-    no link that a bucket shows is lost. Pairs within a component can't change it and are skipped. A pair at the
+    bucket then still has classes of several components, the pairs across components are compared too, in the task
+    that has them, so that no link that a bucket shows is lost. Pairs within a component can't change it and are skipped. A pair at the
     threshold s shares no bucket with chance (1 - s**band_rows)**(functions/band_rows): 8e-6 for 0.85 and 5 of 100.
 
     Null or empty text, or one without words: size 0, linked with nothing. Null doc_id: linked with nothing,
@@ -171,11 +227,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
     slim = cut(described(docs, words, functions))
     usable = slim.where("doc_id is not null and n_shingles > 0")
     classes = cut(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).select("set_key", "rep.doc_id", "rep.text_key", "n_shingles", "signature"))
-    buckets = classes.select("set_key", F.explode(_bands(functions, band_rows)).alias("bucket"))
+    buckets = classes.select("set_key", F.posexplode(_bands(functions, band_rows)).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("set_key").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    shared = cut(buckets.join(heads, "bucket"))
+    shared = cut(buckets.join(heads, "bucket"))  # classes that meet others
     pairs = cut(shared.where("a <> set_key").select("a", F.col("set_key").alias("b")).distinct())
-    links = cut(verified(pairs, _texts(docs, classes, pairs), words, percent))
+    links = cut(verified(pairs, _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("set_key"))), words, percent))
     rep = classes.select("set_key", "doc_id")
     several = slim.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
     own = usable.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "set_key").join(rep.withColumnRenamed("doc_id", "b"), "set_key").select("a", "b")
@@ -187,13 +243,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
         return cut(rep.join(parts, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("component")))
 
     labelled = joined(links)
-    marked = shared.join(labelled, "set_key")
+    marked = shared.join(labelled, "set_key").withColumnRenamed("a", "head")
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
-    open_rows = marked.join(mixed, "bucket", "left_semi").join(classes.select("set_key", "n_shingles", "signature"), "set_key")
-    more = _plausible(open_rows.select("bucket", "set_key", "component", "n_shingles", "signature"), functions, percent)
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = cut(verified(more, _texts(docs, classes, more), words, percent))
+    open_rows = cut(marked.join(mixed, "bucket", "left_semi"))
+    if open_rows.limit(1).count():
+        told = classes.select("set_key", "n_shingles", "signature").join(_packed(_texts(docs, classes, open_rows)), "set_key")
+        found = cut(_across(open_rows.join(told, "set_key"), words, percent, functions, band_rows))
         if found.limit(1).count():
             labelled = joined(links.unionByName(found))
     out = slim.join(labelled, "set_key", "left")
@@ -201,9 +256,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set_key, text of the classes that are in a pair."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    wanted = classes.join(used, "set_key", "left_semi").select("set_key", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+def _texts(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
+    """set_key, text of the classes whose set_key is in `needed`."""
+    wanted = classes.join(needed.select("set_key").distinct(), "set_key", "left_semi").select("set_key", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     return rows.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key"))).select("set_key", "text")
