@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Strings that mark turns here or in common templates. Fixed values.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "[TURN]", "[/TURN]")
 #: A turn is "[TURN]role[/TURN]text</s>".
@@ -224,7 +226,7 @@ def digests(pieces: DataFrame) -> DataFrame:
             yield flush()
 
     slim = read_back(pieces).select("conv_id", "turn", "got_role", "got_text", "got_loss", F.char_length("piece").cast("long").alias("size"))
-    return slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "got_role", "got_text").mapInArrow(run, DIGESTS)
+    return slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "got_role", "got_text").mapInArrow(tidy(run), DIGESTS)
 
 
 def chat(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:

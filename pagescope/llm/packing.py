@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 SEQUENCE_TOKENS = 2048
 #: Id that ends a document.
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, most: int = SEQUENCE_TOKENS, tokenizer: str | None =
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(encode, PIECES)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(tidy(encode), PIECES)
 
 
 class SumOfSquares:
@@ -138,7 +138,7 @@ def _pack(rows: DataFrame, tasks: int, most: int, turn: int) -> DataFrame:
 
     # Largest first; the order within a task, and so the result, depends on the rows only.
     dealt = rows.repartition(tasks, "row", "piece").sortWithinPartitions(F.desc("length"), "row", "piece")
-    return dealt.mapInArrow(pack, PLACED)
+    return dealt.mapInArrow(tidy(pack), PLACED)
 
 
 def pack(docs: DataFrame, most: int = SEQUENCE_TOKENS, tokenizer: str | None = None, ranks: str | None = None, task_pieces: int = TASK_PIECES) -> DataFrame:

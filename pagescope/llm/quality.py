@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_rows
+from .common import held_out, label_rows, tidy
 
 #: A text is compressed in blocks of so many bytes, so that a long text can't become its own dictionary.
 BLOCK_BYTES = 1024
@@ -115,6 +115,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
             texts = ((t.as_py() or "").encode() for t in batch["text"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts))], names)
 
-    found = kept.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], "score double"]))
+    found = kept.mapInArrow(tidy(run), ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], "score double"]))
     extra = [c for c in keep if c != "doc_id"]
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *extra)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_BYTES, Rolling, cut, text_steps
+from .common import Rolling, STEP_BYTES, cut, text_steps, tidy
 from .gsaca import suffix_array
 
 #: Bytes of a string that counts as repeated, and of the substrings that anchor one.
@@ -184,7 +184,7 @@ def _packed(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
 
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("doc_key"), *carry)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{kinds}, n_bytes long, body binary")
+    return rows.mapInArrow(tidy(run), f"{kinds}, n_bytes long, body binary")
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 names = pa.array(np.concatenate([name, np.zeros(len(start), np.int64)]), mask=np.repeat([False, True], [len(name), len(start)]))
                 yield pa.RecordBatch.from_arrays([names, pa.array(keys[row + doc]), pa.array((np.concatenate([low, start]) - away).astype(np.int32)), pa.array((np.concatenate([high, end]) - away).astype(np.int32))], ["name", "doc_key", "low", "high"])
 
-    return docs.select("text", F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(run, "name long, doc_key long, low int, high int")
+    return docs.select("text", F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(tidy(run), "name long, doc_key long, low int, high int")
 
 
 def _stretches(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _stretches(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["name", "times", "doc_key", "low", "stretch"])
 
-    return packed.select("doc_key", "body").join(lists, "doc_key").mapInArrow(run, "name long, times long, doc_key long, low long, stretch binary")
+    return packed.select("doc_key", "body").join(lists, "doc_key").mapInArrow(tidy(run), "name long, times long, doc_key long, low long, stretch binary")
 
 
 def _compared(stretches: DataFrame, window: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _compared(stretches: DataFrame, window: int) -> DataFrame:
             yield from spans(held)
 
     dealt = stretches.select("name", "doc_key", "low", "stretch").repartition("name").sortWithinPartitions("name")
-    return dealt.mapInArrow(run, SPANS)
+    return dealt.mapInArrow(tidy(run), SPANS)
 
 
 def _hot(stretches: DataFrame, window: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _hot(stretches: DataFrame, window: int) -> DataFrame:
                     s = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(hashed[s].view(np.int64)), pa.array(same[row:end][of[s]]), pa.array((p - offsets[of])[s].astype(np.int32))], ["window", "same", "at"])
 
-    windows = kinds.select("same", "name", "stretch").mapInArrow(run, "window long, same long, at int")
+    windows = kinds.select("same", "name", "stretch").mapInArrow(tidy(run), "window long, same long, at int")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     kind = "array<struct<first:long,last:long>>"
 
@@ -357,4 +357,4 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = W
             yield pa.RecordBatch.from_arrays([*rest, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType([joined.schema[c] for c in carry]))
-    return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(run), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, _LOWER, held_out, label_rows, text_steps
+from .common import _LOWER, Rolling, held_out, label_rows, text_steps, tidy
 from .quality import SAMPLE_CHARS, sample_texts
 
 #: Confirmed toxic and unlabelled texts that the fit takes at most, each of up to SAMPLE_CHARS characters.
@@ -151,5 +151,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             found = [own.scores(data, offsets) for _, _, data, offsets in text_steps(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    found = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
