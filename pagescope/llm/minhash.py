@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, shingle_sets, text_steps
+from .common import cut, mix64, shingle_sets, text_steps, tidy
 from .components import components
 
 #: Hash functions of a signature, at most 256, and rows of a band.
@@ -73,7 +73,7 @@ def described(docs: DataFrame, words: int, functions: int = FUNCTIONS) -> DataFr
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(size.astype(np.int64)), pa.array(key), pa.array([s.tobytes() for s in signed], pa.binary())], ["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, signature binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, set_key long, signature binary")
 
 
 def _bands(functions: int, rows: int) -> Column:
@@ -122,7 +122,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     dealt_rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt_rows.mapInArrow(run, "a long, b long").distinct()
+    return dealt_rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _packed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["set_key"], pa.array([squeeze.compress(t.as_py().encode()) for t in batch["text"]], pa.binary())], ["set_key", "body"])
 
-    return texts.select("set_key", "text").mapInArrow(run, "set_key long, body binary")
+    return texts.select("set_key", "text").mapInArrow(tidy(run), "set_key long, body binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -209,7 +209,7 @@ def _across(rows: DataFrame, words: int, percent: int, functions: int, band_rows
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     dealt = spread.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, functions: int = FUNCTIONS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
     buckets = classes.select("set_key", F.posexplode(_bands(functions, band_rows)).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("set_key").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     shared = cut(buckets.join(heads, "bucket"))  # classes that meet others
+    own_buckets = shared.groupBy("set_key").agg(F.collect_list(F.struct("band", "bucket", F.col("a").alias("head"))).alias("buckets"))
     pairs = cut(shared.where("a <> set_key").select("a", F.col("set_key").alias("b")).distinct())
     links = cut(verified(pairs, _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("set_key"))), words, percent))
     rep = classes.select("set_key", "doc_id")
@@ -243,16 +244,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
         return cut(rep.join(parts, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("component")))
 
     labelled = joined(links)
-    marked = shared.join(labelled, "set_key").withColumnRenamed("a", "head")
+    marked = own_buckets.join(labelled, "set_key").select("set_key", "component", F.inline("buckets"))
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
-    open_rows = cut(marked.join(mixed, "bucket", "left_semi"))
+    open_rows = marked.join(mixed, "bucket", "left_semi").groupBy("set_key", "component").agg(F.collect_list(F.struct("band", "bucket", "head")).alias("buckets"))
+    open_rows = cut(open_rows)
     if open_rows.limit(1).count():
         told = classes.select("set_key", "n_shingles", "signature").join(_packed(_texts(docs, classes, open_rows)), "set_key")
-        found = cut(_across(open_rows.join(told, "set_key"), words, percent, functions, band_rows))
+        rows = open_rows.join(told, "set_key").select("set_key", "component", "n_shingles", "signature", "body", F.inline("buckets"))
+        found = cut(_across(rows, words, percent, functions, band_rows))
         if found.limit(1).count():
             labelled = joined(links.unionByName(found))
     out = slim.join(labelled, "set_key", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
