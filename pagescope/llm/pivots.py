@@ -8,10 +8,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .components import components
 from .vectors import matrix, unit, with_key
 
@@ -41,6 +42,11 @@ def _compared(table: pa.Table, least: float, shared: int) -> Iterator[pa.RecordB
     """(class, links, a, b) of whole list blocks: a class's links that count in its list, and a link of its own
     towards its component there. Many links of a class can come in several rows."""
     table = table.combine_chunks()
+    shape = np.stack([pc.list_value_length(table[c]).to_numpy() for c in ("vector", "permutation")], 1)
+    if (shape != shape[0]).any():  # lists of other dimensions
+        for one in np.unique(shape, axis=0):
+            yield from _compared(table.filter(pa.array((shape == one).all(1))), least, shared)
+        return
     place = _places(table)
     edges = np.append(np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1))), len(place))
     sizes = np.diff(edges)
@@ -126,7 +132,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOTS,
                     ranked = np.tile(np.arange(shared), (len(mine), 1))
                 yield pa.RecordBatch.from_arrays([part["class"], part["label"], part["dim"], pa.array(ranked.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["class", "label", "dim", "permutation"])
 
-    described = cut(classes.select("class", "label", "dim", "vector").mapInArrow(describe, f"class long, label {dict(classes.dtypes)['label']}, dim int, permutation array<int>"))
+    described = cut(classes.select("class", "label", "dim", "vector").mapInArrow(tidy(describe), f"class long, label {dict(classes.dtypes)['label']}, dim int, permutation array<int>"))
 
     @F.pandas_udf("array<long>")
     def lists(permutation: pd.Series) -> pd.Series:
@@ -157,7 +163,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOTS,
             yield from _compared(pa.Table.from_batches(held), least, shared)
 
     dealt = blocks.repartition("side", "list", "low", "high").sortWithinPartitions("side", "list", "low", "high", "rep")
-    found = cut(dealt.mapInArrow(compare, "class long, links long, a long, b long"))
+    found = cut(dealt.mapInArrow(tidy(compare), "class long, links long, a long, b long"))
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     several = rows.groupBy("vec_id").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min("label").alias("s"), F.max("label").alias("t")).where("x <> y or s <> t").select("vec_id")
     same = rows.join(several, "vec_id", "left_semi").select(F.col("vec_id").alias("a"), F.xxhash64("label", "key").alias("class")).join(classes.select("class", F.col("rep").alias("b")), "class").select("a", "b")
