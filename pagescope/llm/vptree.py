@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import tidy
 from .vectors import matrix, unit, usable
 
 #: Vectors of a shard, about, and of a leaf at most.
 SHARD_ROWS, LEAF = 8192, 128
 #: A branch is left out if it lies further from the query's sphere than 1/FACTOR of its radius; 1 is exact.
-FACTOR = 6.0
+FACTOR = 4.0
 
 
 class Tree:
@@ -127,7 +128,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
                     yield from tree.answer(part["vec_id"].to_numpy(), matrix(part["vector"]), k, factor)
 
     dealt = rows.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
-    found = dealt.mapInArrow(run, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = dealt.mapInArrow(tidy(run), FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
