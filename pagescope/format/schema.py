@@ -103,14 +103,15 @@ def tree(elements: list[dict[str, Any]]) -> list[dict[str, Any]]:
     return nodes
 
 
-def _list_semantics(leaf: dict[str, Any], by_id: dict[int, dict[str, Any]]) -> str:
-    """MODERN_LIST if the nearest repeated ancestor lies in an annotated list, else LEGACY_REPEATED."""
-    node = leaf
-    while node["repetition"] != "REPEATED":
+def _list_semantics(leaf: dict[str, Any], by_id: dict[int, dict[str, Any]]) -> str | None:
+    """MODERN_LIST below a group annotated as a list, else LEGACY_REPEATED below a repeated group, else None."""
+    above, node = [], leaf
+    while node["parent_id"] is not None:
         node = by_id[node["parent_id"]]
-    parent = by_id.get(node["parent_id"]) if node["parent_id"] is not None else None
-    kind = effective_logical_type(parent) if parent else None
-    return "MODERN_LIST" if node is not leaf and kind and kind["name"] in ("LIST", "MAP") else "LEGACY_REPEATED"
+        above.append(node)
+    if any((kind := effective_logical_type(n)) and kind["name"] == "LIST" for n in above):
+        return "MODERN_LIST"
+    return "LEGACY_REPEATED" if any(n["repetition"] == "REPEATED" for n in above) else None
 
 
 def leaves(nodes: list[dict[str, Any]]) -> list[dict[str, Any]]:

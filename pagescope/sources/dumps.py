@@ -57,7 +57,7 @@ def _schema(nodes: list[dict[str, Any]]) -> dict[str, Any]:
     for n in nodes:
         common = {k: n[k] for k in ("element_type", "name", "full_path", "start_offset", "byte_length", "definition_level", "repetition_level", "repetition", "converted_type", "field_id")} | {"logical_type": _logical(n["logical_type"])}
         if n["element_type"] == "column":
-            own = common | {k: n[k] for k in ("type", "type_length", "scale", "precision", "list_semantics")}
+            own = common | {k: n[k] for k in ("type", "type_length", "scale", "precision")} | {"list_semantics": n["list_semantics"] and n["list_semantics"].lower()}
         else:
             own = common | {"num_children": n["num_children"], "children": {}}
         made[n["element_id"]] = own
@@ -152,7 +152,7 @@ def _nodes(root: dict[str, Any]) -> Iterator[dict[str, Any]]:
         mine, count = count, count + 1
         logical = own.get("logical_type")
         flat = logical and {k: logical.get(k if k != "name" else "logical_type") for k in ("name", "bit_width", "is_signed", "scale", "precision", "unit", "is_adjusted_to_utc", "algorithm")}
-        yield {k: own.get(k) for k in ("element_type", "name", "full_path", "type", "type_length", "repetition", "num_children", "converted_type", "scale", "precision", "field_id", "definition_level", "repetition_level", "list_semantics", "start_offset", "byte_length")} | {"element_id": mine, "parent_id": parent, "depth": len(path), "path": path, "logical_type": flat}
+        yield {k: own.get(k) for k in ("element_type", "name", "full_path", "type", "type_length", "repetition", "num_children", "converted_type", "scale", "precision", "field_id", "definition_level", "repetition_level", "list_semantics", "start_offset", "byte_length")} | {"element_id": mine, "parent_id": parent, "depth": len(path), "path": path, "logical_type": flat, "list_semantics": (own.get("list_semantics") or "").upper() or None}
         for child in (own.get("children") or {}).values():
             yield from walk(child, mine, [*path, child["name"]])
 
