@@ -17,6 +17,8 @@ from .common import cut, tidy
 SEQUENCE_TOKENS = 2048
 #: Id that ends a document.
 END_ID = 0
+#: Pieces of a SMALL-th of a sequence or more are placed first, by size.
+SMALL = 8
 #: Pieces of one packing task, about.
 TASK_PIECES = 200_000
 
@@ -136,8 +138,10 @@ def _pack(rows: DataFrame, tasks: int, most: int, turn: int) -> DataFrame:
         columns = [*[table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row")], pa.array(ids), pa.array(at[1]), pa.array(most - used[at[0]])]
         yield from pa.Table.from_arrays(columns, [f.split()[0] for f in PLACED.split(", ")]).to_batches(max_chunksize=20_000)
 
-    # Largest first; the order within a task, and so the result, depends on the rows only.
-    dealt = rows.repartition(tasks, "row", "piece").sortWithinPartitions(F.desc("length"), "row", "piece")
+    # Large pieces by size, then the small ones as they come: in the sums' favourite order, sizes mixed, they fill what
+    # is left. The order within a task, and so the result, depends on the rows only.
+    large = F.when(F.col("length") * SMALL >= most, F.col("length")).otherwise(0)
+    dealt = rows.repartition(tasks, "row", "piece").sortWithinPartitions(large.desc(), F.xxhash64("row", "piece"), "row", "piece")
     return dealt.mapInArrow(tidy(pack), PLACED)
 
 
@@ -145,7 +149,7 @@ def pack(docs: DataFrame, most: int = SEQUENCE_TOKENS, tokenizer: str | None = N
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of documents.
 
     The ids are made once and written as slim rows of pieces. Full pieces are sequences by themselves; the others
-    are dealt by hash to tasks of about `task_pieces` pieces, where SumOfSquares places them, largest first. The
+    are dealt by hash to tasks of about `task_pieces` pieces, where SumOfSquares places them, large ones first. The
     pieces of sequences that have 2 % or more left are packed again, together, over fewer tasks, until one task
     has them or nothing changes. Texts are encoded whole; only pieces travel.
 
