@@ -98,4 +98,54 @@ SELECT doc_id, size, s AS source_size, target,
 FROM runs
 """
 
-ORACLES: dict[str, str] = {"op8_mixing": _OP8}
+#: Digests of the turns themselves; the template adds 17 characters to a turn, and one for each backslash and control string.
+_OP1 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(role || text) + 17 + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]|<</?SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\[/?TURN\]'))
+         + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]|<</?SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\[/?TURN\]')) AS chars
+  FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+_GROUPS = """
+reach(node, other) AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+  UNION SELECT r.node, l.other FROM reach r JOIN (SELECT a AS node, b AS other FROM links UNION SELECT b, a FROM links) l ON r.other = l.node)
+"""
+
+#: All pairs of one label, exactly.
+_OP4 = f"""
+WITH RECURSIVE links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id
+  WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.93),
+{_GROUPS}
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE e.vec_id IN (l.a, l.b))::BIGINT AS n_links,
+       least(e.vec_id, coalesce((SELECT min(other) FROM reach r WHERE r.node = e.vec_id), e.vec_id)) AS component_id,
+       coalesce((SELECT min(other) FROM reach r WHERE r.node = e.vec_id), e.vec_id) >= e.vec_id AS kept
+FROM embeddings e
+"""
+
+#: All pairs that share a shingle, exactly.
+_OP7 = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM docs),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM items p JOIN items q ON p.x = q.x AND p.doc_id < q.doc_id AND p.n * 100 >= 85 * q.n AND q.n * 100 >= 85 * p.n
+  GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+{_GROUPS},
+least_of AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, coalesce(m, s.doc_id) >= s.doc_id AS kept
+FROM sets s LEFT JOIN least_of ON node = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": _OP1, "op4_pivots": _OP4, "op7_minhash": _OP7, "op8_mixing": _OP8}
