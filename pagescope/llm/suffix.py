@@ -82,8 +82,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
         same[same] = whole[p[same]] == whole[before[same]]
         mark = np.zeros(len(whole), bool)
         mark[p[same]] = mark[before[same]] = True
-        for first, last in zip(*_runs(mark), strict=True):  # of one text each: other texts' windows lie apart
-            covered = (np.append(covered[0], first), np.append(covered[1], last - 1 + window))
+        first, last = _runs(mark)  # of one text each: other texts' windows lie apart
+        covered = (first, last - 1 + window)
         left, lows, highs = np.ones(len(low), bool), low.copy(), high.copy()
         left[again] = False
         kept_of, kept_p = of[~same], p[~same]
