@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from .functions import blooms, logical
 from .operators import metrics, nesting
 from .operators import relations as R
-from .operators.values import ordered
 from .plans.session import Lens
 from .sources import dumps
 
@@ -186,8 +185,8 @@ def decode_float(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT epoch_us(ts)::BIGINT AS ts, event_id FROM events")
 def decode_physical_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = _lens(spark, sf_dir, "events")
-    stamps = ordered(lens.values("ts", apply_logical=False)).select("row_group", "ord", F.col("value").alias("ts"))
-    ids = ordered(lens.values("event_id")).select("row_group", "ord", F.col("value").alias("event_id"))
+    stamps = lens.values("ts", apply_logical=False).select("row_group", "ord", F.col("value").alias("ts"))
+    ids = lens.values("event_id").select("row_group", "ord", F.col("value").alias("event_id"))
     return stamps.join(ids, ["row_group", "ord"]).select("ts", "event_id")
 
 
@@ -221,7 +220,7 @@ def shred_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assemble_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = _lens(spark, sf_dir, "embeddings")
     nodes = [r.asDict(recursive=True) for r in R.schema_elements(lens.footers).orderBy("element_id").collect()]
-    streams = {p: ordered(lens.values(p)) for p in ("vec_id", "embedding.list.element", "label")}
+    streams = {p: lens.values(p) for p in ("vec_id", "embedding.list.element", "label")}
     return nesting.assemble(nodes, streams).select("vec_id", "embedding", "label")
 
 

@@ -53,7 +53,7 @@ class _Assembly:
     def _lists(self, frame: DataFrame, depth: int, level: int) -> DataFrame:
         """One row for each list at repetition depth `depth`: val is the array of the elements, of entries that reach
         `level`. Elements are wrapped before they are collected, which keeps null ones."""
-        started = frame.withColumn("n", F.sum((F.col("rl") < depth).cast("long")).over(W.partitionBy(*self.keys).orderBy("i")))
+        started = frame.withColumn("n", F.sum((F.col("rl") < depth).cast("long")).over(W.partitionBy(*self.keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
         element = F.when(F.col("dl") >= level, F.struct("i", "val"))
         found = started.groupBy(*self.keys, "n").agg(F.min_by("dl", "i").alias("dl"), F.min_by("rl", "i").alias("rl"), F.sort_array(F.collect_list(element)).alias("xs"))
         return found.select(*self.keys, F.col("n").alias("i"), "dl", "rl", F.transform("xs", lambda x: x["val"]).alias("val"))

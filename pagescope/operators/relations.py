@@ -348,8 +348,13 @@ def decoded_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str,
 
 
 def data_pages(page_rows: DataFrame, pages_per_task: int = 64) -> DataFrame:
-    """Data pages, spread so that a long chunk is the work of several tasks."""
-    return page_rows.where(F.col("page_type").startswith("DATA_PAGE")).repartition("file_path", "row_group", "column_id", F.floor(F.col("page_ordinal") / pages_per_task)).sortWithinPartitions("file_path", "row_group", "column_id", "page_ordinal")
+    """Data pages with first_entry, the number of entries in the chunk's pages before them; spread so that a long chunk is
+    the work of several tasks."""
+    from pyspark.sql import Window as W
+
+    before = W.partitionBy("file_path", "row_group", "column_id").orderBy("page_ordinal").rowsBetween(W.unboundedPreceding, -1)
+    data = page_rows.where(F.col("page_type").startswith("DATA_PAGE")).withColumn("first_entry", F.coalesce(F.sum("num_values").over(before), F.lit(0)))
+    return data.repartition("file_path", "row_group", "column_id", F.floor(F.col("page_ordinal") / pages_per_task)).sortWithinPartitions("file_path", "row_group", "column_id", "page_ordinal")
 
 
 def page_values(page_rows: DataFrame) -> DataFrame:

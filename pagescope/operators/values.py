@@ -8,7 +8,6 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -16,20 +15,22 @@ from ..errors import Unsupported
 from ..functions.logical import convert, spark_type
 from .relations import BATCH_ROWS, data_pages, decoded_pages, schema_of
 
-_PLACE = "file_path string, row_group int, column_id int, column_path string, page_ordinal int, entry_ordinal bigint, definition_level int, repetition_level int"
+_PLACE = "file_path string, row_group int, column_id int, column_path string, page_ordinal int, entry_ordinal bigint, ord bigint, definition_level int, repetition_level int"
 
 
-def column_kind(page_rows: DataFrame) -> tuple[str, dict[str, Any] | None]:
-    """Physical and logical type that the pages' column has in all files."""
-    kinds = page_rows.select("type", "logical_type").distinct().limit(2).collect()
+def column_kind(rows: DataFrame) -> tuple[str, dict[str, Any] | None]:
+    """Physical and logical type that a column's chunks or pages have in all files. Chunks cost footers only."""
+    kinds = rows.select("type", "logical_type").distinct().limit(2).collect()
     if len(kinds) != 1:
-        raise Unsupported(f"{'no pages' if not kinds else 'pages of several types'}: one column's pages are needed")
+        raise Unsupported(f"{'nothing' if not kinds else 'several types'}: one column's rows are needed")
     return kinds[0]["type"], kinds[0]["logical_type"] and kinds[0]["logical_type"].asDict()
 
 
 def column_values(page_rows: DataFrame, kind: tuple[str, dict[str, Any] | None] | None = None, apply_logical: bool = True, compat: bool = False, with_physical: bool = False) -> DataFrame:
     """A row for each entry of one column's data pages: place, levels, `value` in the column's own Spark type (null where
-    there is none), and `physical` if asked for. kind: as column_kind finds it, where it is known already."""
+    there is none), and `physical` if asked for. ord is an entry's place among the entries of the given pages of its row
+    group, from 1; it comes from the page headers, so no values are sorted for it. kind: as column_kind finds it, where it
+    is known already."""
     physical, logical = kind or column_kind(page_rows)
     target = spark_type(physical, logical, compat, apply_logical)
     raw = spark_type(physical, None, apply=False)
@@ -44,7 +45,7 @@ def column_values(page_rows: DataFrame, kind: tuple[str, dict[str, Any] | None]
                 part, s = found.slice(at, BATCH_ROWS), slice(at, at + BATCH_ROWS)
                 n = len(part)
                 columns = [pa.repeat(pa.scalar(page[f.name], f.type), n) for f in list(arrow)[:5]]
-                columns += [pa.array(np.arange(at, at + n)), pa.array(dl[s].astype(np.int32)), pa.array(rl[s].astype(np.int32))]
+                columns += [pa.array(np.arange(at, at + n)), pa.array(np.arange(at, at + n) + page["first_entry"] + 1), pa.array(dl[s].astype(np.int32)), pa.array(rl[s].astype(np.int32))]
                 columns.append(convert(part, physical, logical, compat, apply_logical).cast(arrow.field("value").type))
                 if with_physical:
                     columns.append(convert(part, physical, logical, compat, False).cast(arrow.field("physical").type))
@@ -52,10 +53,3 @@ def column_values(page_rows: DataFrame, kind: tuple[str, dict[str, Any] | None]
 
     return data_pages(page_rows).mapInArrow(run, schema)
 
-
-def ordered(values: DataFrame) -> DataFrame:
-    """Adds `ord`: the place of an entry among its column's entries in its row group, from 1. One row group is one
-    partition: the first entry of a row group always starts a record, a page's needn't."""
-    from pyspark.sql import Window as W
-
-    return values.withColumn("ord", F.row_number().over(W.partitionBy("file_path", "row_group", "column_id").orderBy("page_ordinal", "entry_ordinal")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import metrics
 from ..operators import relations as R
-from ..operators.values import column_values
+from ..operators.values import column_kind, column_values
 from ..sources import dumps, listing
 
 RELATIONS = ("files", "key_values", "schema_elements", "row_groups", "column_chunks", "encoding_stats", "pages", "offset_index", "column_index", "bloom_filters")
@@ -45,7 +45,7 @@ class Lens:
 
     def values(self, column: str, **options: bool) -> DataFrame:
         own = R.column_chunks(self.footers).where(R.chunk_filter([column], self.groups))
-        return column_values(R.pages(own), **options)
+        return column_values(R.pages(own), column_kind(own), **options)
 
     def dump(self, metadata_only: bool = False) -> DataFrame:
         return dumps.dump(self.listed, metadata_only)

@@ -14,14 +14,17 @@ from ..errors import CorruptFile, Shortfall
 T = TypeVar("T")
 #: First guess at the length of an index or a header.
 GUESS, HEADER_GUESS = 64 << 10, 8 << 10
+#: Least bytes of a request over http: what lies near is held, and near the end of a file all up to the end.
+LEAST_REQUEST = 64 << 10
 
 
 class Ranges:
-    """One file. `reads` counts requests and `bytes_read` what they brought."""
+    """One file. `reads` and `bytes_read` count what was asked for, `requests` what went over http."""
 
     def __init__(self, path: str, size: int | None = None):
-        self.path, self.reads, self.bytes_read = path, 0, 0
+        self.path, self.reads, self.bytes_read, self.requests = path, 0, 0, 0
         self._file: Any = None
+        self._held, self._held_at = b"", 0
         url = urlparse(path)
         if url.scheme in ("http", "https"):
             self._read, self.size = self._http, size if size is not None else self._http_size()
@@ -53,11 +56,18 @@ class Ranges:
             return int(answer.headers["Content-Length"])
 
     def _http(self, at: int, size: int) -> bytes:
+        end = at + size
         if not size:
             return b""
-        asked = urllib.request.Request(self.path, headers={"Range": f"bytes={at}-{at + size - 1}"})  # noqa: S310
-        with urllib.request.urlopen(asked) as answer:  # noqa: S310
-            return answer.read() if answer.status == 206 else answer.read()[at : at + size]
+        if not self._held_at <= at <= end <= self._held_at + len(self._held):
+            start = max(0, min(at, self.size - LEAST_REQUEST)) if self.size - at <= LEAST_REQUEST else at
+            stop = min(self.size, max(end, start + LEAST_REQUEST))
+            asked = urllib.request.Request(self.path, headers={"Range": f"bytes={start}-{stop - 1}"})  # noqa: S310
+            with urllib.request.urlopen(asked) as answer:  # noqa: S310
+                self._held = answer.read() if answer.status == 206 else answer.read()[start:stop]
+            self._held_at = start
+            self.requests += 1
+        return self._held[at - self._held_at : end - self._held_at]
 
     def read(self, at: int, size: int) -> bytes:
         """data[at:at+size]; less only at the end of the file."""

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from pagescope.operators import metrics
 from pagescope.operators import relations as R
-from pagescope.operators.values import column_values, ordered
+from pagescope.operators.values import column_values
 from pagescope.plans.session import Lens
+from pagescope.sources.ranges import Ranges
 
 N = 3000
 
@@ -48,7 +49,7 @@ def native(path, column):
 
 
 def decoded(spark, path, column, **options):
-    rows = ordered(Lens(spark, path).values(column, **options)).orderBy("row_group", "ord").collect()
+    rows = Lens(spark, path).values(column, **options).orderBy("row_group", "ord").collect()
     return [r["value"] for r in rows]
 
 
@@ -256,6 +257,8 @@ def test_http_ranges(spark, folder):
     try:
         url = f"http://127.0.0.1:{server.server_port}/remote.parquet"
         assert Lens(spark, url).chunks.count() == 24
+        with Ranges(url) as ranges:
+            assert R.read_footer(ranges)["row_group_count"] == 3 and ranges.requests <= 2
         assert sorted(x for x in decoded(spark, url, "i64") if x is not None) == sorted(x for x in native(str(folder / "remote.parquet"), "i64") if x is not None)
     finally:
         server.shutdown()
