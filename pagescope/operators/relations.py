@@ -96,9 +96,10 @@ def read_footer(ranges: Ranges, columns: list[str] | None = None) -> dict[str, A
         if ranges.size < footer.LEAST_SIZE:
             raise CorruptFile(f"a file of {ranges.size} bytes is too short")
         at, length = footer.locate(ranges.exactly(ranges.size - 8, 8), ranges.size)
+        data = ranges.exactly(at, length)
         if ranges.exactly(0, 4) != footer.MAGIC:
             raise footer.BadMagic("the file doesn't start with the magic bytes")
-    return footer.parse(ranges.exactly(at, length), at, columns)
+    return footer.parse(data, at, columns)
 
 
 def footers(spark: SparkSession, paths: str | list[str] | DataFrame, columns: list[str] | None = None, mode: str = "FAILFAST") -> DataFrame:
