@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,11 +15,14 @@ from .common import held_out, label_rows, tidy
 
 #: A text is compressed in blocks of so many bytes, so that a long text can't become its own dictionary.
 BLOCK_BYTES = 1024
-DICTIONARY_BYTES = 32 << 10
+DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Pairs of dictionaries, from texts of their own: which substrings a dictionary keeps is partly chance, and the mean
+#: of several pairs varies less.
+PAIRS = 4
 #: Labelled rows of each class that the fit takes at most, of texts up to SAMPLE_CHARS; of these, those whose
-#: texts make the dictionaries. The others calibrate.
-SAMPLE_ROWS, DICTIONARY_ROWS, SAMPLE_CHARS = 2500, 800, 1 << 16
+#: texts make a dictionary. The others calibrate.
+SAMPLE_ROWS, DICTIONARY_ROWS, SAMPLE_CHARS = 2500, 400, 1 << 16
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, label: str, value: int, rows: int, chars: int = SAMPLE_CHARS) -> list[str]:
@@ -43,29 +46,30 @@ def dictionary(texts: list[str]) -> bytes:
         return b"\n".join(samples)[-DICTIONARY_BYTES:]
 
 
+def compressor(data: bytes) -> zstandard.ZstdCompressor:
+    kind = zstandard.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 @dataclass(frozen=True)
 class Model:
-    """score = 1 / (1 + exp(-(slope * (bytes with bad's dictionary - bytes with good's) / bytes of text + bias)))"""
+    """score = 1 / (1 + exp(-(slope * difference + bias))); difference: bytes with the dictionaries of bad text less
+    bytes with those of good text, by byte of text, in the mean of the pairs (good, bad)."""
 
-    good: bytes
-    bad: bytes
+    pairs: tuple[tuple[bytes, bytes], ...]
     slope: float
     bias: float
 
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
-        made = []
-        for data in (self.good, self.bad):
-            kind = zstandard.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-            made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False))
-        return made
-
-    def scores(self, texts: Iterator[bytes]) -> np.ndarray:
-        good, bad = self.compressors()
+    def differences(self, texts: Iterable[bytes]) -> np.ndarray:
+        made = [tuple(compressor(d) for d in pair) for pair in self.pairs]
         found = []
         for text in texts:
             own = blocks(text)
-            found.append(sum(len(bad.compress(b)) - len(good.compress(b)) for b in own) / max(1, len(text)))
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(found, float) + self.bias, -40, 40)))
+            found.append(sum(len(bad.compress(b)) - len(good.compress(b)) for b in own for good, bad in made) / max(1, len(text)) / max(1, len(made)))
+        return np.array(found, float)
+
+    def scores(self, texts: Iterable[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.bias, -40, 40)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -89,16 +93,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     texts = [sample_texts(docs, labels, label, value, rows) for value in (0, 1)]
     if not all(texts):
         p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
-        return Model(b"", b"", 0.0, float(np.log(p / (1 - p))))
-    split = [min(DICTIONARY_ROWS, -(-len(t) // 2)) for t in texts]
-    bad, good = (dictionary(t[:n]) for t, n in zip(texts, split, strict=True))
-    rest = [t[n:] or t for t, n in zip(texts, split, strict=True)]
-    raw = Model(good, bad, 1.0, 0.0)
-    p = [raw.scores(t.encode() for t in part) for part in rest]
-    x = np.concatenate([np.log(q / (1 - q)) for q in p])
-    y = np.repeat([0.0, 1.0], [len(q) for q in p])
-    weight = np.where(y == 1, share / len(p[1]), (1 - share) / len(p[0])) * len(y)
-    return Model(good, bad, *calibrate(x, y, weight))
+        return Model((), 0.0, float(np.log(p / (1 - p))))
+    parts = max(1, min(PAIRS, *(len(t) // 40 for t in texts)))
+    each = [min(DICTIONARY_ROWS, -(-len(t) // (2 * parts))) for t in texts]
+    bad, good = ([dictionary(t[i * n : (i + 1) * n]) for i in range(parts)] for t, n in zip(texts, each, strict=True))
+    raw = Model(tuple(zip(good, bad, strict=True)), 1.0, 0.0)
+    x0, x1 = (raw.differences(x.encode() for x in t[parts * n :] or t) for t, n in zip(texts, each, strict=True))
+    weight = np.repeat([(1 - share) / len(x0), share / len(x1)], [len(x0), len(x1)]) * (len(x0) + len(x1))
+    return Model(raw.pairs, *calibrate(np.concatenate([x0, x1]), np.repeat([0.0, 1.0], [len(x0), len(x1)]), weight))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
