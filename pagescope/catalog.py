@@ -275,7 +275,26 @@ def bloom_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.probe(Lens(spark, path).chunks, "p_partkey", wanted, explain=True).select("value", "probe.hash", "probe.block_index", "probe.bits", "probe.might_contain")
 
 
-@query()
+def _xxh64_sql() -> str:
+    """xxHash64 of eight bytes, step by step in 128 bits modulo 2**64."""
+    from .format.bloom import P1, P2, P3, P4, P5
+
+    one = 1 << 64
+    wide = lambda x: f"'{x}'::UHUGEINT"
+    times = lambda x, p: f"(({x})::UHUGEINT * {wide(p)} % {wide(one)})"
+    turn = lambda x, n: f"({times(x, 1 << n)} + ({x})::UHUGEINT // {wide(1 << (64 - n))})::UBIGINT"
+    fold = lambda x, n: f"xor({x}, {x} >> {n})"
+    return f"""
+WITH a AS (SELECT p_partkey, {times("p_partkey", P2)}::UBIGINT AS x FROM part),
+b AS (SELECT p_partkey, xor('{(P5 + 8) % one}'::UBIGINT, {times(turn("x", 31), P1)}::UBIGINT) AS x FROM a),
+c AS (SELECT p_partkey, (({times(turn("x", 27), P1)} + {wide(P4)}) % {wide(one)})::UBIGINT AS x FROM b),
+d AS (SELECT p_partkey, {times(fold("x", 33), P2)}::UBIGINT AS x FROM c),
+e AS (SELECT p_partkey, {times(fold("x", 29), P3)}::UBIGINT AS x FROM d),
+f AS (SELECT p_partkey, {fold("x", 32)} AS x FROM e)
+SELECT p_partkey, CASE WHEN x >= '{1 << 63}'::UBIGINT THEN (x::HUGEINT - '{one}'::HUGEINT)::BIGINT ELSE x::BIGINT END AS hashed FROM f"""
+
+
+@query(_xxh64_sql())
 def xxh64_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     return keys.select("p_partkey", blooms.xxh64(blooms.little_endian(F.col("p_partkey"), 8)).alias("hashed"))

@@ -77,6 +77,14 @@ def test_views(spark, path):
     assert spark.sql("SELECT count(*) n FROM v_files JOIN v_row_groups USING (file_path)").first().n == 3
 
 
+def test_table_functions(spark, path):
+    from pagescope.plans import udtf
+
+    udtf.register(spark)
+    assert spark.sql(f"SELECT * FROM parquet_pages('{path}')").count() == Lens(spark, path).pages().count()
+    assert spark.sql(f"SELECT sum(num_values) n FROM parquet_chunks('{path}') WHERE column_path = 'id'").first().n == 1000
+
+
 def test_links(spark, path):
     lens = Lens(spark, path)
     elements = lens.relation("schema_elements")
