@@ -77,9 +77,13 @@ def _chosen(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Features whose shares of texts differ between the two parts by more than chance."""
     shares, texts = [], [len(bounds) - 1 for _, bounds in parts]
     for ids, bounds in parts:
-        owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
-        seen = np.unique((owner[:, None] << BITS) + ids)
-        shares.append(np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS) / (len(bounds) - 1))
+        seen = np.zeros(1 << BITS)
+        for row in range(0, len(bounds) - 1, 500):  # texts at a time
+            own = bounds[row : row + 501]
+            owner = np.repeat(np.arange(len(own) - 1, dtype=np.int64), np.diff(own))
+            each = np.unique((owner[:, None] << BITS) + ids[own[0] : own[-1]])
+            seen += np.bincount(each & ((1 << BITS) - 1), minlength=1 << BITS)
+        shares.append(seen / (len(bounds) - 1))
     error = sum((s * (1 - s) + 1 / n) / n for s, n in zip(shares, texts, strict=True))
     z = abs(shares[0] - shares[1]) / np.sqrt(error)
     best = np.lexsort((np.arange(len(z)), -z))[:FEATURES]
