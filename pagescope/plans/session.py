@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..errors import Unsupported
+from ..operators import metrics, nesting
 from ..operators import relations as R
 from ..operators.values import column_kind, column_values
 from ..sources import dumps, listing
@@ -47,6 +49,21 @@ class Lens:
         own = R.column_chunks(self.footers).where(R.chunk_filter([column], self.groups))
         return column_values(R.pages(own), column_kind(own), **options)
 
+    def records(self, columns: list[str] | None = None, **options: bool) -> DataFrame:
+        """file_path, row_group, record and the top-level fields, decoded and assembled here: for files that the native
+        scan refuses, and to see values as they are stored. columns: dotted paths of leaves, or of what holds them. All
+        files must have one schema; one file's schema rows come to the driver."""
+        rows = R.schema_elements(self.footers)
+        shape = F.sort_array(F.collect_list(F.struct("element_id", "full_path", "type", "repetition", "converted_type")))
+        kinds = rows.groupBy("file_path").agg(F.xxhash64(shape).alias("shape")).groupBy("shape").agg(F.min("file_path").alias("one")).limit(2).collect()
+        if len(kinds) != 1:
+            raise Unsupported(f"{'no files' if not kinds else 'files of several schemas'}: one schema is needed")
+        nodes = [r.asDict(recursive=True) for r in rows.where(F.col("file_path") == kinds[0]["one"]).orderBy("element_id").collect()]
+        wanted = [n["full_path"] for n in nodes if n["element_type"] == "column" and (columns is None or any(n["full_path"] == c or n["full_path"].startswith(c + ".") for c in columns))]
+        if len(set(wanted)) < len(wanted):
+            raise Unsupported("columns of equal dotted paths")
+        return nesting.assemble(nodes, {path: self.values(path, **options) for path in wanted})
+
     def dump(self, metadata_only: bool = False) -> DataFrame:
         return dumps.dump(self.listed, metadata_only)
 

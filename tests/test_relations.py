@@ -275,6 +275,17 @@ def test_compression_metrics(spark, folder):
     assert all(r.ratio >= 0 for r in empty)
 
 
+def test_records_of_files_that_the_native_scan_refuses(spark, folder):
+    rows = [{"id": i, "half": np.float16(i / 2), "tags": None if i % 5 == 0 else [f"t{j}" if j % 2 else None for j in range(i % 4)], "pairs": [(f"k{j}", j) for j in range(i % 3)], "s": None if i % 7 == 0 else {"x": float(i), "y": [i] * (i % 2)}} for i in range(60)]
+    kind = pa.schema([("id", pa.int64()), ("half", pa.float16()), ("tags", pa.list_(pa.string())), ("pairs", pa.map_(pa.string(), pa.int32())), ("s", pa.struct([("x", pa.float64()), ("y", pa.list_(pa.int64()))]))])
+    path = write(folder, "refused", pa.Table.from_pylist(rows, kind), use_dictionary=False, column_encoding={"s.x": "BYTE_STREAM_SPLIT"}, row_group_size=25, data_page_size=64)
+    found = Lens(spark, path).records().orderBy("row_group", "record").collect()
+    got = [{"id": r.id, "half": r.half, "tags": r.tags, "pairs": [tuple(p) for p in r.pairs], "s": r.s and r.s.asDict()} for r in found]
+    assert got == [r | {"half": float(r["half"])} for r in rows]
+    part = Lens(spark, path).records(columns=["s.y", "id"])
+    assert part.columns == ["file_path", "row_group", "record", "id", "s"] and part.schema["s"].dataType.names == ["y"]
+
+
 def test_wrong_mixture_of_columns_is_refused(spark, folder):
     path = write(folder, "mixture", sample())
     with pytest.raises(Exception, match="several types"):
