@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Unsupported
+from ..format.schema import effective_logical_type
 from ..operators import metrics, nesting
 from ..operators import relations as R
 from ..operators.values import column_kind, column_values
@@ -45,9 +47,10 @@ class Lens:
     def pages(self, **options: bool) -> DataFrame:
         return dumps.restore_pages(self.dumps) if self.from_dumps else R.pages(self.chunks, mode=self.mode, **options)
 
-    def values(self, column: str, **options: bool) -> DataFrame:
+    def values(self, column: str, kind: tuple[str, dict[str, Any] | None] | None = None, **options: bool) -> DataFrame:
+        """Typed values of a column; kind (physical and logical type) saves a look at the footers where it is known."""
         own = R.column_chunks(self.footers).where(R.chunk_filter([column], self.groups))
-        return column_values(R.pages(own), column_kind(own), **options)
+        return column_values(R.pages(own), kind or column_kind(own), **options)
 
     def records(self, columns: list[str] | None = None, **options: bool) -> DataFrame:
         """file_path, row_group, record and the top-level fields, decoded and assembled here: for files that the native
@@ -59,10 +62,10 @@ class Lens:
         if len(kinds) != 1:
             raise Unsupported(f"{'no files' if not kinds else 'files of several schemas'}: one schema is needed")
         nodes = [r.asDict(recursive=True) for r in rows.where(F.col("file_path") == kinds[0]["one"]).orderBy("element_id").collect()]
-        wanted = [n["full_path"] for n in nodes if n["element_type"] == "column" and (columns is None or any(n["full_path"] == c or n["full_path"].startswith(c + ".") for c in columns))]
-        if len(set(wanted)) < len(wanted):
+        wanted = [n for n in nodes if n["element_type"] == "column" and (columns is None or any(n["full_path"] == c or n["full_path"].startswith(c + ".") for c in columns))]
+        if len({n["full_path"] for n in wanted}) < len(wanted):
             raise Unsupported("columns of equal dotted paths")
-        return nesting.assemble(nodes, {path: self.values(path, **options) for path in wanted})
+        return nesting.assemble(nodes, {n["full_path"]: self.values(n["full_path"], (n["type"], effective_logical_type(n)), **options) for n in wanted})
 
     def dump(self, metadata_only: bool = False) -> DataFrame:
         return dumps.dump(self.listed, metadata_only)
