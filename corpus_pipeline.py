@@ -7,10 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagescope.llm import minhash, mixing, packing, quality, suffix
 from pagescope.llm.common import cut, table
@@ -35,17 +33,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return single.unionByName(several).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(body: pd.Series) -> pd.Series:
-    """Text of bytes; what a cut has left of a character goes, too."""
-    return body.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeated strings of 200 bytes cover. Documents of which no word is left go;
     those that had none before stay."""
-    found = suffix.dedup(docs.select(*COLUMNS), carry=("doc_id", "lang", "source"))
-    text = found.withColumn("text", _decoded("kept"))
+    text = suffix.dedup(docs.select(*COLUMNS), carry=("doc_id", "lang", "source"), as_text=True).withColumnRenamed("kept", "text")
     left = text.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,10 +39,9 @@ class Encoder:
     _made: dict[tuple[str, str | None], Encoder] = {}
 
     def __init__(self, path: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.path, self._slow = path, None
+        with open(path, "rb") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.fast = None
         if ranks:
             import public_tokenizers
@@ -57,6 +57,15 @@ class Encoder:
             cls._made[path, ranks] = cls(path, ranks)
         return cls._made[path, ranks]
 
+    @property
+    def slow(self):  # noqa: ANN201
+        """The contract's library; few texts need it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special) or _LONG_RUN.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids

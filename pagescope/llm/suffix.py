@@ -318,8 +318,9 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, window: int = WINDOW, gra
     return known.unionByName(few).unionByName(_hot(stretches.where(F.col("times") > hot), window))
 
 
-def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
     """The columns of `carry`, n_bytes, n_removed, n_spans and kept (the bytes that remain) for each row of documents.
+    as_text: kept is text; what a cut has left of a character goes, too.
 
     Anchors whose hash occurs once in the corpus end there. For the others, the stretch of bytes around each is
     dealt by anchor, and _compared finds the windows that occur in several stretches with suffix arrays made by
@@ -354,7 +355,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = W
                     removed.append(0)
                     kept.append(text)
             rest = [batch[c] for c in (*carry, "n_bytes")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [*carry, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType([joined.schema[c] for c in carry]))
-    return joined.mapInArrow(tidy(run), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(run), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
