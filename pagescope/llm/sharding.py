@@ -27,7 +27,7 @@ def balance(sizes: list[int], shards: int) -> list[int]:
     return to
 
 
-def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 32, samples_per_range: int = 32, parts_per_shard: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 128, samples_per_range: int = 32, parts_per_shard: int = 4) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) for each row of documents.
 
     The key is a hash of the text, so equal texts lie together. A key sample with chances in proportion to size
