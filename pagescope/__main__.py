@@ -44,14 +44,15 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             found = show.key_value(lens, asked.key) if asked.key else show.summary(lens)
         else:
             found = show.row_group_rows(lens, asked.column) if asked.verb == "row-groups" else show.page_rows(lens, asked.column, asked.row_group)
-        rows = found.limit(1000).collect()
-        if not rows:
-            print("nothing found", file=sys.stderr)
-            return 1
-        print("\t".join(found.columns))
-        for row in rows:
+        some = False
+        for row in found.toLocalIterator():
+            if not some:
+                print("\t".join(found.columns))
+            some = True
             print("\t".join("" if v is None else str(v) for v in row))
-        return 0
+        if not some:
+            print("nothing found", file=sys.stderr)
+        return 0 if some else 1
     except (PySparkException, OSError, ValueError) as error:
         print(f"error: {str(error).splitlines()[0]}", file=sys.stderr)
         return 1

@@ -108,6 +108,17 @@ def test_command_line(spark, path, capsys, tmp_path):
     assert main(["schema", str(tmp_path / "bad.parquet")], spark) == 1
 
 
+def test_command_line_shows_every_row(spark, capsys, tmp_path):
+    pq.write_table(pa.table({"id": list(range(2400))}), tmp_path / "many.parquet", row_group_size=2)
+    for verb in (["row-groups"], ["pages", "--column", "id"]):
+        assert main([verb[0], str(tmp_path / "many.parquet"), *verb[1:]], spark) == 0
+        header, *rows = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+        assert [int(g) for g in dict.fromkeys(r[header.index("row_group")] for r in rows)] == list(range(1200))
+    assert main(["meta", str(tmp_path / "many.parquet"), "--key", "nothing"], spark) == 1
+    told = capsys.readouterr()
+    assert told.out == "" and "nothing found" in told.err
+
+
 def test_sizes(spark):
     rows = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 40,), (None,)], "n long").select(human_bytes(F.col("n"))).collect()
     assert [r[0] for r in rows] == ["0 B", "1023 B", "1.5 KB", "5.0 TB", None]
