@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
 
 
 class _Shard:
-    """A shard's tree over its distinct vectors, and the ids of each, ascending."""
+    """A shard's tree over its distinct vectors, and the distinct ids of each, ascending."""
 
     def __init__(self, held: list[tuple[np.ndarray, np.ndarray]]):
         ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -143,10 +143,10 @@ class _Shard:
         _, first, which = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
         self.x = x[first]
         by = np.argsort(which, kind="stable")
-        self.ids = np.split(ids[by], np.cumsum(np.bincount(which, minlength=len(first)))[:-1])
+        self.ids = [np.unique(one) for one in np.split(ids[by], np.cumsum(np.bincount(which, minlength=len(first)))[:-1])]
         self.rows_of: dict[int, list[int]] = {}  # rows that an id has to itself
         for row, one in enumerate(self.ids):
-            if one[0] == one[-1]:
+            if len(one) == 1:
                 self.rows_of.setdefault(int(one[0]), []).append(row)
         self.tree = Tree(unit(self.x))
 
@@ -154,12 +154,21 @@ class _Shard:
         for at in range(0, len(q), step):
             who, x = query_ids[at : at + step], q[at : at + step]
             own = [np.array(self.rows_of.get(int(i), []), np.int64) for i in who]
-            best, _ = self.tree.search(unit(x), k, factor, own)
             out: list[tuple[int, int, int]] = []
-            for i, rows in enumerate(best.tolist()):
-                for row in rows:
-                    if row >= 0:
-                        ids = self.ids[row][: k + 1 + int((self.ids[row][: k + 1] == who[i]).sum())]
-                        out += [(i, int(v), row) for v in np.unique(ids[ids != who[i]])[:k]]
+            units, left, wide = unit(x), np.arange(len(who)), k
+            while len(left):
+                best, _ = self.tree.search(units[left], wide, factor, [own[i] for i in left.tolist()])
+                short = []
+                for i, rows in zip(left.tolist(), best.tolist(), strict=True):
+                    offered = []
+                    for row in rows:
+                        if row >= 0:
+                            ids = self.ids[row][: k + 1]
+                            offered += [(i, int(v), row) for v in ids[ids != who[i]][:k]]
+                    if rows[-1] >= 0 and len({v for _, v, _ in offered}) < k:  # ids with several vectors took the places of others
+                        short.append(i)
+                    else:
+                        out += offered
+                left, wide = np.array(short, np.int64), 2 * wide
             i, ids, row = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ([], [], [])))
             yield pa.RecordBatch.from_arrays([pa.array(who[i]), pa.array(ids), pa.array(cosine(x[i], self.x[row]) if len(i) else np.zeros(0))], ["query_id", "vec_id", "score"])

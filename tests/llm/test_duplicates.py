@@ -321,6 +321,25 @@ def test_nearest_of_many_copies_and_recall(spark):
     assert vptree.nearest(empty, empty).count() == 0 and vptree.nearest(df, empty).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1.0, vptree.FACTOR])
+def test_nearest_with_rows_repeated_often(spark, factor):
+    """Repeated rows, of the query's own id, too, and rows of one id with many vectors take no other id's place."""
+    near, far = [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, near, 0)] * 10 + [(8, near, 0)] + [(5, near, 0)] * 13 + [(20 + i, [1.0, 1.0 + i, 0.0], 0) for i in range(4)]
+    rows += [(40, [0.01 * i, 0.0, 1.0], 0) for i in range(12)] + [(41 + i, [1.0, 0.0, 2.0 - 0.1 * i], 0) for i in range(5)] + [(60, far, 0)]
+    df = spark.createDataFrame(rows, EMBEDDED).repartition(3)
+    found = defaultdict(list)
+    for r in vptree.nearest(df, df.where("vec_id in (5, 60)").distinct(), k=5, factor=factor).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    vectors = defaultdict(set)
+    for i, v, _ in rows:
+        vectors[i].add(tuple(v))
+    score = lambda q, i: max(round(cosine(list(q), list(v)), 9) for v in vectors[i])
+    for query, q in ((5, near), (60, far)):
+        assert found[query] == sorted((i for i in vectors if i != query), key=lambda i: (-score(q, i), i))[:5]
+    assert found[5][:2] == [3, 8] and found[60][0] == 40
+
+
 def test_pipeline(spark, tmp_path):
     """run() on a small corpus, and each stage's decisions against brute force on its own input."""
     rng = random.Random(11)
