@@ -17,8 +17,6 @@ from .components import components
 FUNCTIONS, BAND_ROWS = 100, 5
 #: Pairs of one verification group; classes and shingles of one block of a bucket.
 GROUP_PAIRS, BLOCK, BLOCK_SHINGLES = 1000, 2000, 400_000
-#: Standard errors below the threshold at which the signatures' estimate rules a pair out.
-MARGIN = 5.0
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
@@ -158,10 +156,8 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 def _across(rows: DataFrame, words: int, percent: int, functions: int, band_rows: int) -> DataFrame:
     """Links (a, b) that join classes of different components, of rows (bucket, band, head, set_key, component,
     n_shingles, signature, body). A bucket is compared in blocks of bounded size, in the task, on full sets; a pair
-    in the first bucket that it shares only. Pairs whose sizes or signatures rule the threshold out, and pairs that
-    links found in the block have joined meanwhile, are skipped. So a block emits fewer links than it has classes."""
-    t = percent / 100
-    least = functions * t - MARGIN * np.sqrt(functions * t * (1 - t))
+    in the first bucket that it shares only. Pairs whose sizes rule the threshold out, and pairs that links
+    found in the block have joined meanwhile, are skipped. So a block emits fewer links than it has classes."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocked = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("set_key", "bucket"), F.col("blocks")).cast("int"))
     spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
@@ -186,12 +182,12 @@ def _across(rows: DataFrame, words: int, percent: int, functions: int, band_rows
                 others = np.arange(i + 1, len(key))
                 others = others[(label[others] != label[i]) & (alone | (own[others] != own[i]))]
                 others = others[(key[others] != head) & (key[i] != head)]
-                others = others[np.minimum(size[others], size[i]) >= t * np.maximum(size[others], size[i])]
+                others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
                 if not len(others):
                     continue
                 same = signed[others] == signed[i]
                 before = same[:, : band * band_rows].reshape(len(others), band, band_rows).all(2).any(1)
-                others = others[(same.sum(1) >= least) & ~before]
+                others = others[~before]
                 if not len(others):
                     continue
                 mine = of(i)

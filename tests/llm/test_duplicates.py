@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import KIND, clashing, odd_rows, rows_of, words
@@ -170,6 +171,19 @@ def test_near_duplicates_in_blocks(spark, none, monkeypatch):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_pairs_of_a_bucket_are_compared_whatever_their_signatures(spark):
+    rng = random.Random(8)
+    base = words(rng, 60).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), words(rng, 60)]
+    rows = []
+    for i, text in enumerate(texts):
+        signature = np.arange(100, dtype=np.uint16) + 100 * i  # the same in one band only
+        signature[:5] = 7
+        rows.append((1, 0, 99, i, i, len(shingles(text, 3)), signature.tobytes(), zstandard.compress(text.encode())))
+    df = spark.createDataFrame(rows, "bucket long, band int, head long, set_key long, component long, n_shingles long, signature binary, body binary")
+    assert [sorted(r) for r in minhash._across(df, 3, 85, 100, 5).collect()] == [[0, 1]]
+
+
 def test_signatures_estimate_similarity_with_less_variance():
     rng = np.random.default_rng(1)
     for n, j in ((30, 0.5), (200, 0.8)):
