@@ -354,6 +354,22 @@ def test_nearest_with_rows_repeated_often(spark, factor):
     assert found[5][:2] == [3, 8] and found[60][0] == 40
 
 
+def test_near_duplicate_stage_drops_near_duplicates_only(spark):
+    """Texts of one doc_id go by themselves; what stays of repeated rows doesn't depend on their order."""
+    rng = random.Random(12)
+    other = words(rng, 60)
+    rows = odd_rows() + near_rows(3, copies=20) + [(130, other, "en", "s2", 1), (130, words(rng, 50), "en", "s1", 1), (131, other, "en", "s1", 1), (140, words(rng, 9), "en", "s1", 1)]
+    rows += [(r[0], r[1], "de", r[3], r[4]) for r in rows if r[0] == 140]
+    nodes = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] and r[1].split()})
+    root = grouped([(i, text) for i, (_, text) in enumerate(nodes)], 5, 80)
+    want = [r for r in rows if r[0] is None or not (r[1] or "").split()]
+    want += [min(r for r in rows if (r[0], r[1]) == nodes[i] and r[0] is not None) for i in root if root[i] == i]
+    for seed in (1, 2):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        found = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(mixed, KIND).repartition(3), "").collect()
+        assert Counter(tuple(r) for r in found) == Counter(want)
+
+
 def test_pipeline(spark, tmp_path):
     """run() on a small corpus, and each stage's decisions against brute force on its own input."""
     rng = random.Random(11)
