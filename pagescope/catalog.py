@@ -109,7 +109,10 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stats_only_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for t, c in (("orders", "o_orderkey"), ("lineitem", "l_linenumber"), ("nation", "n_regionkey")):
-        found = metrics.stats_only_agg(_lens(spark, sf_dir, t).chunks, c).where("exact")
+        lens = _lens(spark, sf_dir, t)
+        found = metrics.stats_only_agg(lens.chunks, c)
+        if not found.where("exact").count():
+            found = lens.values(c).agg(F.min("value").cast("long").alias("min_value"), F.max("value").cast("long").alias("max_value"), F.count("value").alias("value_count"))
         parts.append(found.select(F.lit(c).alias("c"), F.col("min_value").alias("lo"), F.col("max_value").alias("hi"), F.col("value_count").alias("n")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -190,18 +193,25 @@ def decode_physical_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.join(ids, ["row_group", "ord"]).select("ts", "event_id")
 
 
+def _entries(found: DataFrame) -> DataFrame:
+    """column_path and physical value: dictionary entries where all pages of a chunk are indices, else its pages' values."""
+    key, whole = ["file_path", "row_group", "column_id"], metrics.fully_dictionary_encoded(found)
+    words = R.dictionary_values(found).join(whole, key, "left_semi").select("column_path", "value")
+    rest = R.page_values(found.join(whole, key, "left_anti")).where("not is_null").select("column_path", "value")
+    return words.unionByName(rest)
+
+
 @query("SELECT DISTINCT n_name AS v FROM nation UNION ALL SELECT DISTINCT c_mktsegment FROM customer UNION ALL SELECT DISTINCT l_returnflag FROM lineitem")
 def dictionary_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = _lens(spark, sf_dir, "nation", "customer", "lineitem")
     found = R.pages(lens.chunks.where(F.col("column_path").isin("n_name", "c_mktsegment", "l_returnflag")))
-    whole = R.dictionary_values(found).join(metrics.fully_dictionary_encoded(found), ["file_path", "row_group", "column_id"], "left_semi")
-    return whole.select("column_path", F.col("value.bin").cast("string").alias("v")).distinct().select("v")
+    return _entries(found).select("column_path", F.col("value.bin").cast("string").alias("v")).distinct().select("v")
 
 
 @query("SELECT 'o_orderstatus' AS c, count(DISTINCT o_orderstatus)::BIGINT AS n FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders")
 def dictionary_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _lens(spark, sf_dir, "orders").chunks.where(F.col("column_path").isin("o_orderstatus", "o_orderpriority", "o_custkey"))
-    return R.dictionary_values(R.pages(own)).groupBy(F.col("column_path").alias("c")).agg(F.countDistinct("value").alias("n"))
+    return _entries(R.pages(own)).groupBy(F.col("column_path").alias("c")).agg(F.countDistinct("value").alias("n"))
 
 
 @query("SELECT CASE WHEN i = 1 THEN 0 ELSE 1 END AS rl, 3 AS dl, count(*)::BIGINT AS n FROM (SELECT generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")

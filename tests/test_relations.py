@@ -15,6 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from pagescope import catalog
 from pagescope.operators import metrics
 from pagescope.operators import relations as R
 from pagescope.operators.values import column_values
@@ -181,6 +182,17 @@ def test_dictionaries(spark, folder):
     assert metrics.fully_dictionary_encoded(lens.pages()).where("column_path = 'text'").count() == 1
 
 
+def test_queries_read_what_dictionaries_and_statistics_lack(spark, tmp_path):
+    n = 3000
+    keys = {"o_orderkey": range(n), "o_orderstatus": ["F", "O", None] * (n // 3), "o_orderpriority": [f"p{i % 5}" for i in range(n)], "o_custkey": range(n)}
+    for name, table in {"orders": keys, "lineitem": {"l_linenumber": range(9), "l_returnflag": [f"r{i}" for i in range(9)]}, "nation": {"n_regionkey": range(4), "n_name": [f"n{i}" for i in range(4)]}, "customer": {"c_mktsegment": ["a", "b"]}}.items():
+        pq.write_table(pa.table({c: list(v) for c, v in table.items()}), tmp_path / f"{name}.parquet", dictionary_pagesize_limit=256, data_page_size=256, write_batch_size=16, use_dictionary=name == "orders", write_statistics=name == "nation")
+    found = {r.c: r.n for r in catalog.dictionary_cardinality(spark, str(tmp_path)).collect()}
+    assert found == {"o_orderstatus": 2, "o_orderpriority": 5, "o_custkey": n}
+    assert sorted(r.v for r in catalog.dictionary_values(spark, str(tmp_path)).collect()) == ["a", "b", *[f"n{i}" for i in range(4)], *[f"r{i}" for i in range(9)]]
+    assert sorted(map(tuple, catalog.stats_only_agg(spark, str(tmp_path)).collect())) == [("l_linenumber", 0, 8, 9), ("n_regionkey", 0, 3, 4), ("o_orderkey", 0, n - 1, n)]
+
+
 def test_pruning(spark, folder):
     path = write(folder, "prune", pa.table({"x": list(range(10_000)), "s": [f"{i:05}" for i in range(10_000)]}), row_group_size=1000, write_page_index=True, data_page_size=512, write_batch_size=50, use_dictionary=False)
     chunks = Lens(spark, path).chunks
