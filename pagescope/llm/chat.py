@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import tidy
 
@@ -95,14 +96,17 @@ def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> La
 
 
 def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """conv_id, turn, role, text of any known layout. Records without an id get a hash of their turns. Null texts
-    and roles become empty; role names of other layouts become system, user and assistant."""
+    """conv_id, turn, role, text of any known layout. Records without an id get a hash of layout, turns and place
+    among equal records, so that each is a conversation by itself. Null texts and roles become empty; role names of
+    other layouts become system, user and assistant."""
     layout = layout_of(df.schema, layouts)
     if layout.turns is None:
         rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     else:
         turns = df.select(F.expr(layout.turns).alias("turns"), *([F.expr(layout.key).cast("long").alias("conv_id")] if layout.key else []))
-        turns = turns if layout.key else turns.withColumn("conv_id", F.xxhash64("turns"))
+        if not layout.key:
+            same = turns.withColumn("same", F.xxhash64(F.lit(layout.name), "turns"))
+            turns = same.withColumn("nth", F.row_number().over(W.partitionBy("same").orderBy("same"))).withColumn("conv_id", F.when(F.col("nth") == 1, F.col("same")).otherwise(F.xxhash64("same", "nth")))
         rows = turns.select("conv_id", F.inline("turns"))
     names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     role = F.coalesce(F.col("role"), F.lit(""))

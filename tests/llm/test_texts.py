@@ -75,6 +75,16 @@ def test_chat_json_of_mixed_layouts(spark):
     assert chat.unknown_json(df).count() == 3
 
 
+def test_equal_records_are_conversations_by_themselves(spark):
+    df = spark.createDataFrame([("p", "c")] * 100 + [("p", "d")], "prompt string, completion string").repartition(3)
+    records = [json.dumps({a: "p", b: "c"}) for a, b in (("prompt", "completion"), ("question", "answer"))] * 50
+    for found in (chat.canonical(df), chat.canonical_json(spark.createDataFrame([(r,) for r in records], "json string"))):
+        rows = found.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns")).collect()
+        assert len(rows) in (100, 101) and all([tuple(t) for t in r.turns] == [(0, "user"), (1, "assistant")] for r in rows)
+    ids = lambda: sorted(r.conv_id for r in chat.canonical(df.repartition(5)).collect())
+    assert ids() == ids()
+
+
 def test_chat_empty(spark):
     assert chat.digests(chat.chat(spark.createDataFrame([], TURNS))).count() == 0
 
