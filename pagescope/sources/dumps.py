@@ -62,7 +62,10 @@ def _schema(nodes: list[dict[str, Any]]) -> dict[str, Any]:
             own = common | {"num_children": n["num_children"], "children": {}}
         made[n["element_id"]] = own
         if n["parent_id"] is not None:
-            made[n["parent_id"]]["children"][n["name"]] = own
+            children, name = made[n["parent_id"]]["children"], n["name"]
+            while name in children:
+                name += "'"
+            children[name] = own
     return made[0]
 
 
@@ -73,12 +76,16 @@ def _metadata(foot: dict[str, Any]) -> dict[str, Any]:
         for c in g["columns"]:
             meta = {k: c[k] for k in ("start_offset", "byte_length", "type", "encodings")} | {"path_in_schema": c["column_path"]} | {k: c[k] for k in ("codec", "num_values", "total_uncompressed_size", "total_compressed_size", "data_page_offset", "index_page_offset", "dictionary_page_offset")}
             meta |= {"statistics": _statistics(c["statistics"], c["column_path"]), "encoding_stats": c["encoding_stats"], "bloom_filter_offset": c["bloom_filter_offset"], "bloom_filter_length": c["bloom_filter_length"], "size_statistics": c["size_statistics"], "geospatial_statistics": c["geospatial_statistics"]}
-            chunks[c["column_path"]] = {"file_offset": c["file_offset"], "metadata": meta, "file_path": c["chunk_file_path"]} | {k: c[k] for k in ("offset_index_offset", "offset_index_length", "column_index_offset", "column_index_length")}
+            name = c["column_path"]
+            while name in chunks:  # columns `a.b` and a{b}; "path" tells them apart
+                name += "'"
+            own = [{"key": p["key"], "value": _b64(p["value"])} for p in c["key_values"] or []]
+            chunks[name] = {"path": c["path"], "key_values": own, "file_offset": c["file_offset"], "metadata": meta, "file_path": c["chunk_file_path"]} | {k: c[k] for k in ("offset_index_offset", "offset_index_length", "column_index_offset", "column_index_length")}
         sizes = [sum(c[k] for c in g["columns"]) for k in ("total_compressed_size", "total_uncompressed_size")]
         groups.append({"start_offset": g["start_offset"], "byte_length": g["byte_length"], "column_chunks": chunks, "total_byte_size": g["total_byte_size"], "row_count": g["row_count"], "sorting_columns": g["sorting_columns"] or [], "file_offset": g["file_offset"], "total_compressed_size": g["total_compressed_size"], "ordinal": g["ordinal"], "compression_stats": compression(*sizes)})
     pairs = [{"start_offset": p["start_offset"], "byte_length": p["byte_length"], "key": p["key"], "value": None if p["value"] is None else p["value"].decode("utf-8", "surrogateescape")} for p in foot["key_values"]]
     totals = [sum(g["compression_stats"][k] for g in groups) for k in ("total_compressed", "total_uncompressed")]
-    return {"version": foot["version"], "schema_root": _schema(foot["schema_elements"]), "row_groups": groups, "created_by": foot["created_by"], "key_value_metadata": pairs, "start_offset": foot["footer_offset"], "total_byte_size": foot["footer_size"], "compression_stats": compression(*totals), "column_count": foot["column_count"], "row_count": foot["row_count"], "row_group_count": foot["row_group_count"]}
+    return {"version": foot["version"], "schema_root": _schema(foot["schema_elements"]), "row_groups": groups, "created_by": foot["created_by"], "key_value_metadata": pairs, "start_offset": foot["footer_offset"], "total_byte_size": foot["footer_size"], "compression_stats": compression(*totals), "column_count": foot["column_count"], "row_count": foot["row_count"], "row_group_count": foot["row_group_count"], "num_rows": foot["num_rows"], "column_orders": foot["column_orders"]}
 
 
 _PAGE = ("page_type", "start_offset", "header_size", "compressed_page_size", "uncompressed_page_size", "crc")
@@ -110,7 +117,7 @@ def _physical(ranges: Ranges, chunk: dict[str, Any], group: int) -> dict[str, An
     if chunk["offset_index_offset"] is not None:
         o = ranges.span(chunk["offset_index_offset"], lambda d, at: thrift.read("OffsetIndex", d, at)[0], length=chunk["offset_index_length"])
         offset = {"start_offset": o["_start"], "byte_length": o["_length"], "page_locations": [{k: x[k] for k in ("offset", "compressed_page_size", "first_row_index")} for x in o["page_locations"]], "unencoded_byte_array_data_bytes": o["unencoded_byte_array_data_bytes"]}
-    return {"path_in_schema": path, "start_offset": R.chunk_bounds(chunk)[0], "total_byte_size": chunk["total_compressed_size"], "codec": chunk["codec"], "num_values": chunk["num_values"], "data_pages": of("DATA_PAGE", "DATA_PAGE_V2"), "index_pages": of("INDEX_PAGE"), "dictionary_page": next(iter(of("DICTIONARY_PAGE")), None), "column_index": column, "offset_index": offset, "row_group": group}
+    return {"path_in_schema": path, "path": chunk["path"], "start_offset": R.chunk_bounds(chunk)[0], "total_byte_size": chunk["total_compressed_size"], "codec": chunk["codec"], "num_values": chunk["num_values"], "data_pages": of("DATA_PAGE", "DATA_PAGE_V2"), "index_pages": of("INDEX_PAGE"), "dictionary_page": next(iter(of("DICTIONARY_PAGE")), None), "column_index": column, "offset_index": offset, "row_group": group}
 
 
 def dump(files: DataFrame, metadata_only: bool = False) -> DataFrame:
@@ -164,20 +171,22 @@ def footer_of(document: dict[str, Any]) -> dict[str, Any]:
     try:
         meta = document["metadata"]
         nodes = list(_nodes(meta["schema_root"]))
-        leaves = {n["full_path"]: n for n in nodes if n["element_type"] == "column"}
+        columns_of = [n for n in nodes if n["element_type"] == "column"]
+        leaves = {n["full_path"]: n for n in columns_of} | {tuple(n["path"]): n for n in columns_of}
         groups = []
         for i, g in enumerate(meta["row_groups"]):
             columns = []
             for j, (path, c) in enumerate(g["column_chunks"].items()):
-                m, leaf = c["metadata"], leaves[path]
+                m, leaf = c["metadata"], leaves[tuple(c["path"]) if "path" in c else path]
+                pairs = [{"key": p["key"], "value": _raw(p["value"])} for p in c.get("key_values") or []]
                 columns.append(m | {k: c.get(k) for k in ("offset_index_offset", "offset_index_length", "column_index_offset", "column_index_length", "file_offset")} | {
-                    "column_id": j, "column_path": path, "path": leaf["path"], "type_length": leaf["type_length"], "max_definition_level": leaf["definition_level"], "max_repetition_level": leaf["repetition_level"],
-                    "logical_type": effective_logical_type(leaf), "chunk_file_path": c.get("file_path"), "statistics": _statistics_back(m.get("statistics")), "key_values": [],
+                    "column_id": j, "column_path": ".".join(leaf["path"]), "path": leaf["path"], "type_length": leaf["type_length"], "max_definition_level": leaf["definition_level"], "max_repetition_level": leaf["repetition_level"],
+                    "logical_type": effective_logical_type(leaf), "chunk_file_path": c.get("file_path"), "statistics": _statistics_back(m.get("statistics")), "key_values": pairs,
                 })
             groups.append({k: g.get(k) for k in ("row_count", "total_byte_size", "total_compressed_size", "file_offset", "ordinal", "sorting_columns", "start_offset", "byte_length")} | {"row_group": i, "columns": columns})
         pairs = [{"ordinal": i, "key": p["key"], "value": None if p["value"] is None else p["value"].encode("utf-8", "surrogateescape"), "start_offset": p["start_offset"], "byte_length": p["byte_length"]} for i, p in enumerate(meta.get("key_value_metadata") or [])]
         rows = sum(g["row_count"] for g in groups)
-        return {"file_path": document["source"], "file_size": document["filesize"], "version": meta["version"], "created_by": meta["created_by"], "num_rows": rows, "row_count": rows, "row_group_count": len(groups), "column_count": len(leaves), "footer_offset": meta["start_offset"], "footer_size": meta["total_byte_size"], "key_values": pairs, "schema_elements": nodes, "row_groups": groups}
+        return {"file_path": document["source"], "file_size": document["filesize"], "version": meta["version"], "created_by": meta["created_by"], "num_rows": meta.get("num_rows", rows), "column_orders": meta.get("column_orders"), "row_count": rows, "row_group_count": len(groups), "column_count": len(columns_of), "footer_offset": meta["start_offset"], "footer_size": meta["total_byte_size"], "key_values": pairs, "schema_elements": nodes, "row_groups": groups}
     except (KeyError, TypeError, AttributeError) as error:
         raise CorruptFile(f"a dump without {error}") from error
 
@@ -200,10 +209,11 @@ def restore_pages(dumps: DataFrame) -> DataFrame:
             return
         foot = footer_of(document)
         known = {(g["row_group"], c["column_path"]): c for g in foot["row_groups"] for c in g["columns"]}
+        by_path = {(g["row_group"], *c["path"]): c for g in foot["row_groups"] for c in g["columns"]}
         for chunk in document["column_chunks"]:
             if (chunk["row_group"], chunk["path_in_schema"]) not in known:
                 raise CorruptFile(f"chunk {chunk['path_in_schema']} isn't in the metadata")
-            own = known[chunk["row_group"], chunk["path_in_schema"]]
+            own = by_path[chunk["row_group"], *chunk["path"]] if "path" in chunk else known[chunk["row_group"], chunk["path_in_schema"]]
             whole = [*([chunk["dictionary_page"]] if chunk["dictionary_page"] else []), *chunk["index_pages"], *chunk["data_pages"]]
             for i, p in enumerate(sorted(whole, key=lambda p: p["start_offset"])):
                 yield {k: own[k] for k in ("column_id", "column_path", "codec", "type", "type_length", "max_definition_level", "max_repetition_level", "logical_type")} | {

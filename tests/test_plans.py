@@ -63,6 +63,21 @@ def test_dump_and_restore(spark, path, tmp_path):
     assert json.loads(lens.dump(metadata_only=True).first().json)["metadata"] == document["metadata"]
 
 
+def test_dump_keeps_columns_of_one_dotted_name(spark, tmp_path):
+    pq.write_table(pa.table({"a.b": [1, 2, 3], "a": [{"b": "x"}, {"b": "y"}, None]}), tmp_path / "t.parquet")
+    lens = Lens(spark, str(tmp_path / "t.parquet"))
+    document = json.loads(lens.dump().first().json)
+    document["metadata"]["num_rows"] = 4
+    next(iter(document["metadata"]["row_groups"][0]["column_chunks"].values()))["key_values"] = [{"key": "k", "value": "dg=="}]
+    foot = dumps.footer_of(document)
+    assert [(c["path"], c["type"]) for c in foot["row_groups"][0]["columns"]] == [(["a.b"], "INT64"), (["a", "b"], "BYTE_ARRAY")]
+    assert foot["num_rows"] == 4 and foot["row_count"] == 3 and foot["row_groups"][0]["columns"][0]["key_values"] == [{"key": "k", "value": b"v"}]
+    assert foot["column_orders"] == lens.footers.first()["column_orders"] if "column_orders" in lens.footers.columns else "column_orders" in document["metadata"]
+    (tmp_path / "d.json").write_text(lens.dump().first().json)
+    back = Lens(spark, str(tmp_path / "d.json"), from_dumps=True)
+    assert sorted(map(str, lens.pages().drop("crc_ok").collect())) == sorted(map(str, back.pages().drop("crc_ok").collect()))
+
+
 def test_dump_with_wrong_path_is_refused(spark, path):
     document = json.loads(Lens(spark, path).dump().first().json)
     document["column_chunks"][0]["path_in_schema"] = "nowhere"
