@@ -307,7 +307,7 @@ SELECT p_partkey, CASE WHEN x >= '{1 << 63}'::UBIGINT THEN (x::HUGEINT - '{one}'
 @query(_xxh64_sql())
 def xxh64_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    return keys.select("p_partkey", blooms.xxh64(blooms.little_endian(F.col("p_partkey"), 8)).alias("hashed"))
+    return keys.select("p_partkey", blooms.hashed(F.col("p_partkey"), "INT64").alias("hashed"))
 
 
 @query(f"SELECT parse_filename(file_name) AS f, count(*)::BIGINT AS chunks, sum(num_values)::BIGINT AS n, sum(total_compressed_size)::BIGINT AS c FROM parquet_metadata({_ALL}) GROUP BY 1")

@@ -175,6 +175,7 @@ def int_stat(raw: Column) -> Column:
 
 
 def _reversed(raw: Column) -> Column:
+    """The bytes from the last to the first."""
     text = F.hex(raw)
     pairs = F.transform(F.sequence(F.octet_length(raw) - 1, F.lit(0), F.lit(-1)), lambda i: F.substring(text, 2 * i + 1, F.lit(2)))
     return F.when(F.octet_length(raw) > 0, F.unhex(F.array_join(pairs, "")))

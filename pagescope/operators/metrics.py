@@ -6,12 +6,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions import blooms, logical
-from .relations import SLOT, bloom_filters, column_index, offset_index
-
-#: Blocks that the values of a bloom lookup are dealt to; each meets every filter.
-PROBE_BLOCKS = 16
+from ..functions import blooms, bounds, logical
+from .relations import SLOT, bloom_blocks, bloom_filters, column_index, offset_index
 
 
 def ratio(compressed: Column, uncompressed: Column) -> Column:
@@ -56,62 +54,66 @@ def index_bounds_text(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumn("min", shown("min_bytes")).withColumn("max", shown("max_bytes")).drop("type", "logical_type")
 
 
-def may_hold_int(low_bytes: Column, high_bytes: Column, low: int, high: int) -> Column:
-    """Whether INT32 / INT64 bounds leave room for a value in low..high; unknown bounds do."""
-    return F.coalesce((logical.int_stat(high_bytes) >= low) & (logical.int_stat(low_bytes) <= high), F.lit(True))
-
-
-def may_hold_text(low_bytes: Column, high_bytes: Column, low: str, high: str) -> Column:
-    """As may_hold_int for byte strings in their byte order; upper bounds may be cut off."""
-    return F.coalesce((high_bytes >= F.lit(low.encode())) & (low_bytes <= F.lit(high.encode())), F.lit(True))
-
-
 def prune_chunks(chunks: DataFrame, column: str, low: Any, high: Any) -> DataFrame:
-    """Chunks of a column that can hold a value in low..high by their statistics. Deprecated bounds never exclude byte
-    strings."""
-    own, s = chunks.where(F.col("column_path") == column), F.col("statistics")
-    if isinstance(low, str):
-        return own.where(logical.deprecated(s) | may_hold_text(s["min_value"], s["max_value"], low, high))
-    return own.where(may_hold_int(logical.min_bytes(s), logical.max_bytes(s), low, high))
+    """Chunks of a column that can hold a value in low..high (None: no limit) by their statistics, in the order that the
+    column's physical and logical type has; see bounds.may_hold. The types are looked up in the footers first."""
+    return bounds.chunks_that_may_hold(chunks.where(F.col("column_path") == column), low, high)
 
 
 def prune_pages(chunks: DataFrame, column: str, low: Any, high: Any) -> DataFrame:
     """Rows first_row..last_row of the pages of a column that can hold a value in low..high by their column index;
     chunks without one are not in the result."""
+    at = ["file_path", "row_group", "column_id"]
     own = chunks.where((F.col("column_path") == column) & F.col("column_index_offset").isNotNull() & F.col("offset_index_offset").isNotNull())
-    bounds, places = column_index(own), offset_index(own).select("file_path", "row_group", "column_id", "page_ordinal", "offset", "first_row_index")
-    holds = may_hold_text if isinstance(low, str) else may_hold_int
-    kept = bounds.where(~F.col("null_page") & holds(F.col("min_bytes"), F.col("max_bytes"), low, high))
-    from pyspark.sql import Window as W
-
-    after = F.lead("first_row_index").over(W.partitionBy("file_path", "row_group", "column_id").orderBy("page_ordinal"))
-    spans = places.withColumn("next_row", after).join(own.select("file_path", "row_group", "column_id", "row_count"), ["file_path", "row_group", "column_id"])
-    return spans.join(kept.select("file_path", "row_group", "column_id", "page_ordinal"), ["file_path", "row_group", "column_id", "page_ordinal"]).select("file_path", "row_group", "column_id", "page_ordinal", F.col("first_row_index").alias("first_row"), (F.coalesce("next_row", "row_count") - 1).alias("last_row"))
+    kinds = own.select(*at, "type", "logical_type", "row_count")
+    room = bounds.may_hold(F.col("min_bytes"), F.col("max_bytes"), bounds.kinds_of(own), low, high)
+    kept = column_index(own).join(kinds.drop("row_count"), at).where(~F.col("null_page") & room).select(*at, "page_ordinal")
+    after = F.lead("first_row_index").over(W.partitionBy(*at).orderBy("page_ordinal"))
+    places = offset_index(own).select(*at, "page_ordinal", "first_row_index").withColumn("next_row", after)
+    spans = places.join(kinds.select(*at, "row_count"), at).join(kept, [*at, "page_ordinal"])
+    last = F.coalesce("next_row", "row_count") - 1
+    return spans.select(*at, "page_ordinal", F.col("first_row_index").alias("first_row"), last.alias("last_row"))
 
 
 def stats_only_agg(chunks: DataFrame, column: str) -> DataFrame:
-    """min, max and count of an INT32 or INT64 column from statistics alone, and whether they can be trusted
-    (`exact`): no chunk lacks bounds, has inexact ones, or an unknown number of nulls. Where not, scan."""
-    own, s = chunks.where(F.col("column_path") == column), F.col("statistics")
-    known = s["null_count"].isNotNull() & (logical.min_bytes(s).isNotNull() | (s["null_count"] == F.col("num_values")))
-    sure = known & F.coalesce(s["is_min_value_exact"], F.lit(True)) & F.coalesce(s["is_max_value_exact"], F.lit(True)) & (F.col("max_repetition_level") == 0)
-    return own.agg(F.min(logical.int_stat(logical.min_bytes(s))).alias("min_value"), F.max(logical.int_stat(logical.max_bytes(s))).alias("max_value"), F.sum(F.col("num_values") - s["null_count"]).alias("value_count"), F.coalesce(F.bool_and(F.coalesce(sure, F.lit(False))), F.lit(False)).alias("exact"))
+    """min, max and count of a column of signed integers from statistics alone, and whether they can be trusted (`exact`):
+    the column is of that kind everywhere, and no chunk lacks bounds, has inexact ones, or an unknown number of nulls.
+    Where not, scan. Bounds of other columns are null and never exact: floats leave NaN out, byte strings may be cut."""
+    own, s, name = chunks.where(F.col("column_path") == column), F.col("statistics"), F.col("logical_type.name")
+    whole = F.col("type").isin("INT32", "INT64") & (name.isNull() | (name == "INTEGER") & F.coalesce("logical_type.is_signed", F.lit(True)))
+    whole = F.coalesce(whole, F.lit(False))
+    low, high = (F.when(whole, logical.int_stat(f(s))) for f in (logical.min_bytes, logical.max_bytes))
+    known = s["null_count"].isNotNull() & ((low.isNotNull() & high.isNotNull()) | (s["null_count"] == F.col("num_values")))
+    exact = F.coalesce(s["is_min_value_exact"], F.lit(True)) & F.coalesce(s["is_max_value_exact"], F.lit(True))
+    sure = F.coalesce(whole & known & exact & (F.col("max_repetition_level") == 0), F.lit(False))
+    return own.agg(
+        F.min(low).alias("min_value"), F.max(high).alias("max_value"), F.sum(F.col("num_values") - s["null_count"]).alias("value_count"),
+        F.coalesce(F.bool_and(sure), F.lit(False)).alias("exact"),
+    )
 
 
 def probe(chunks: DataFrame, column: str, values: DataFrame, value: str = "value", explain: bool = False) -> DataFrame:
     """Bloom lookups of each row of values in the filters of a column: file_path, row_group, the value, might_contain
-    (and probe, its derivation). Lookups are dealt by value and filter; a filter is one row."""
+    (and probe, its derivation). Null values are left out.
+
+    A lookup reads one block of 32 bytes of a filter. Values meet blocks, not filters: each value is hashed once and has
+    one block index for each size of filters (their headers tell the sizes, a few in all), and joins the blocks of that
+    index. Neither a whole filter nor all values pass through one task."""
     own = chunks.where((F.col("column_path") == column) & F.col("bloom_filter_offset").isNotNull())
-    kinds = [r[0] for r in own.select("type").distinct().collect()]
+    shapes = bloom_filters(own, bits=False).select("type", "num_blocks").distinct().collect()
     out = None
-    for kind in kinds:
-        filters = bloom_filters(own.where(F.col("type") == kind)).select("file_path", "row_group", "bitset", "num_blocks")
-        wanted = values.select(F.col(value).alias("value"), blooms.xxh64(blooms.plain_bytes(F.col(value), kind)).alias("hashed")).where("value is not null")
-        dealt = wanted.withColumn("block", F.pmod("hashed", F.lit(PROBE_BLOCKS)))
-        spread = filters.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PROBE_BLOCKS - 1).cast("long"))))
-        pairs = dealt.join(spread, "block").drop("block")
-        shown = [blooms.explain(F.col("hashed"), F.col("bitset"), F.col("num_blocks")).alias("probe")] if explain else []
-        found = pairs.select("file_path", "row_group", "value", blooms.might_contain("bitset", "hashed").alias("might_contain"), *shown)
+    for kind in sorted({r["type"] for r in shapes}):
+        sizes = F.array(*[F.lit(r["num_blocks"]) for r in shapes if r["type"] == kind])
+        wanted = values.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), blooms.hashed(F.col(value), kind).alias("hashed"))
+        wanted = wanted.withColumn("num_blocks", F.explode(sizes)).withColumn("block_index", blooms.block_index(F.col("hashed"), F.col("num_blocks")))
+        blocks = bloom_blocks(own.where(F.col("type") == kind)).select("file_path", "row_group", "num_blocks", "block_index", "block")
+        met = wanted.join(blocks, ["num_blocks", "block_index"])
+        if explain:
+            told = blooms.explain(F.col("hashed"), F.col("block_index"), F.col("block"), F.col("num_blocks"))
+            found = met.select("file_path", "row_group", "value", told.alias("probe")).withColumn("might_contain", F.col("probe.might_contain"))
+        else:
+            bits = blooms.bit_checks(F.col("hashed"), F.col("block"))
+            found = met.select("file_path", "row_group", "value", F.forall(bits, lambda b: b["is_set"]).alias("might_contain"))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return values.sparkSession.createDataFrame([], f"file_path string, row_group int, value {dict(values.dtypes)[value]}, might_contain boolean")

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import CorruptFile, ParquetError, Unsupported, reading
 from ..format import footer, pages as page_format, thrift
+from ..format.bloom import BLOCK_BYTES
 from ..format.records import BOUNDARY_ORDERS, named
 from ..sources.listing import listed
 from ..sources.ranges import HEADER_GUESS, Ranges
@@ -45,6 +47,7 @@ PAGE = (
 OFFSET_INDEX = f"{KEYS}, page_ordinal int, offset bigint, compressed_page_size bigint, first_row_index bigint, unencoded_bytes bigint, start_offset bigint, byte_length bigint"
 COLUMN_INDEX = f"{KEYS}, page_ordinal int, null_page boolean, min_bytes binary, max_bytes binary, null_count bigint, boundary_order string, repetition_level_histogram array<bigint>, definition_level_histogram array<bigint>, start_offset bigint, byte_length bigint"
 BLOOM = f"{KEYS}, type string, start_offset bigint, num_bytes bigint, num_blocks bigint, header_length int, byte_length bigint, bitset binary"
+BLOOM_BLOCK = f"{KEYS}, num_blocks bigint, block_index bigint, block binary"
 VALUE = "struct<b:boolean,i:int,l:bigint,f:float,d:double,bin:binary>"
 DICTIONARY = f"{KEYS}, type string, index bigint, value {VALUE}"
 PAGE_VALUES = f"{KEYS}, type string, page_ordinal int, entry_ordinal bigint, definition_level int, repetition_level int, is_null boolean, value {VALUE}"
@@ -53,6 +56,10 @@ PAGE_VALUES = f"{KEYS}, type string, page_ordinal int, entry_ordinal bigint, def
 SLOT = {"BOOLEAN": "b", "INT32": "i", "INT64": "l", "FLOAT": "f", "DOUBLE": "d", "INT96": "bin", "BYTE_ARRAY": "bin", "FIXED_LEN_BYTE_ARRAY": "bin"}
 #: Rows of one Arrow batch of values.
 BATCH_ROWS = 50_000
+#: Tasks for each core at least, and bytes of files for one task at most, of stages that read files.
+TASKS_PER_CORE, TASK_BYTES = 2, 1 << 30
+#: Neighbouring pages that stay together when pages are dealt to tasks.
+PAGES_TOGETHER = 8
 
 
 def schema_of(ddl: str) -> T.StructType:
@@ -72,15 +79,28 @@ def _fault(error: BaseException) -> dict[str, str]:
     return {"error_class": type(error).__name__, "error_message": str(error)[:500]}
 
 
-def _map(rows: DataFrame, each: Callable[[dict[str, Any]], Iterator[dict[str, Any]]], ddl: str, batch: int = 256) -> DataFrame:
-    """Rows of `ddl` that `each` makes of each row."""
-    kind = _arrow(ddl)
+FAULTS = "error_class string, error_message string"
+
+
+def _map(rows: DataFrame, each: Callable[[dict[str, Any]], Iterator[dict[str, Any]]], ddl: str, batch: int = 256, mode: str = "FAILFAST") -> DataFrame:
+    """Rows of `ddl` that `each` makes of each row. PERMISSIVE adds error_class and error_message: a row of what can't be
+    read has these and its place, and nulls else."""
+    schema = schema_of(ddl) if mode == "FAILFAST" or "error_class" in ddl else schema_of(f"{ddl}, {FAULTS}")
+    kind = to_arrow_schema(schema)
+
+    def tried(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        try:
+            yield from each(row)
+        except (ParquetError, OSError) as error:
+            if mode == "FAILFAST":
+                raise
+            yield {k: v for k, v in row.items() if k in kind.names} | _fault(error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, Any]] = []
         for part in batches:
             for row in part.to_pylist():
-                for made in each(row):
+                for made in tried(row):
                     held.append(made)
                     if len(held) >= batch:
                         yield _rows(held, kind)
@@ -88,7 +108,7 @@ def _map(rows: DataFrame, each: Callable[[dict[str, Any]], Iterator[dict[str, An
         if held:
             yield _rows(held, kind)
 
-    return rows.mapInArrow(run, schema_of(ddl))
+    return rows.mapInArrow(run, schema)
 
 
 def read_footer(ranges: Ranges, columns: list[str] | None = None) -> dict[str, Any]:
@@ -147,9 +167,15 @@ def encoding_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select("file_path", "row_group", "column_id", "column_path", F.inline("encoding_stats"))
 
 
-def dealt(chunks: DataFrame) -> DataFrame:
-    """Chunks spread over tasks: the unit of work below footers is a chunk, not a file."""
-    return chunks.repartition("file_path", "row_group", "column_id")
+def tasks_for(spark: SparkSession, size: int = 0) -> int:
+    """Tasks for a stage that reads files of so many bytes together, as many as keep all cores busy at least."""
+    return max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def dealt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows that say what to read, spread evenly: the unit of work below footers is a chunk, not a file. Such rows are
+    tiny, so their number of tasks is a fixed one: adaptive execution would put all of them into one."""
+    return rows.repartition(tasks or tasks_for(rows.sparkSession))
 
 
 def _where(row: dict[str, Any]) -> dict[str, Any]:
@@ -196,24 +222,20 @@ def discover(ranges: Ranges, row: dict[str, Any]) -> Iterator[dict[str, Any]]:
     yield from walk(ranges, start, end)
 
 
-def pages(chunks: DataFrame, verify: bool = False, by_index: bool = True, mode: str = "FAILFAST") -> DataFrame:
+def pages(chunks: DataFrame, verify: bool = False, by_index: bool = True, mode: str = "FAILFAST", tasks: int | None = None) -> DataFrame:
     """A row for each page of the given chunks, in file order; filter the chunks first. verify reads the bodies as well
     and compares checksums (crc_ok). by_index=False walks headers even where an offset index lists the pages."""
+    fixed_columns = ("codec", "type", "type_length", "max_definition_level", "max_repetition_level", "logical_type")
 
     def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        fixed = _where(row) | {k: row[k] for k in ("codec", "type", "type_length", "max_definition_level", "max_repetition_level", "logical_type", "file_size")} | {"chunk_offset": chunk_bounds(row)[0]}
-        try:
-            with Ranges(row["file_path"], row["file_size"]) as ranges:
-                for i, page in enumerate(discover(ranges, row) if by_index else walk(ranges, *chunk_bounds(row))):
-                    ok = page_format.crc_ok(page, ranges.exactly(page["start_offset"] + page["header_size"], page["compressed_page_size"])) if verify else None
-                    yield fixed | page | {"page_ordinal": i, "crc_ok": ok}
-        except (ParquetError, OSError) as error:
-            if mode == "FAILFAST":
-                raise
-            yield fixed | _fault(error)
+        fixed = _where(row) | {k: row[k] for k in (*fixed_columns, "file_size")} | {"chunk_offset": chunk_bounds(row)[0]}
+        with Ranges(row["file_path"], row["file_size"]) as ranges:
+            for i, page in enumerate(discover(ranges, row) if by_index else walk(ranges, *chunk_bounds(row))):
+                ok = page_format.crc_ok(page, _body(ranges, page)) if verify else None
+                yield fixed | page | {"page_ordinal": i, "crc_ok": ok}
 
-    needed = ["file_path", "file_size", "row_group", "column_id", "column_path", "codec", "type", "type_length", "max_definition_level", "max_repetition_level", "logical_type", "data_page_offset", "dictionary_page_offset", "total_compressed_size", "offset_index_offset", "offset_index_length"]
-    return _map(dealt(chunks.select(*needed)), each, PAGE)
+    place = ["data_page_offset", "dictionary_page_offset", "total_compressed_size", "offset_index_offset", "offset_index_length"]
+    return _map(dealt(chunks.select("file_path", "file_size", "row_group", "column_id", "column_path", *fixed_columns, *place), tasks), each, PAGE, mode=mode)
 
 
 def tiling(page_rows: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -230,7 +252,7 @@ def _offset_index(ranges: Ranges, row: dict[str, Any]) -> dict[str, Any]:
         return ranges.span(row["offset_index_offset"], lambda data, at: thrift.read("OffsetIndex", data, at)[0], length=row["offset_index_length"])
 
 
-def offset_index(chunks: DataFrame) -> DataFrame:
+def offset_index(chunks: DataFrame, mode: str = "FAILFAST", tasks: int | None = None) -> DataFrame:
     """A row for each page that an offset index lists."""
 
     def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
@@ -241,10 +263,10 @@ def offset_index(chunks: DataFrame) -> DataFrame:
             yield _where(row) | {"page_ordinal": i, "offset": p["offset"], "compressed_page_size": p["compressed_page_size"], "first_row_index": p["first_row_index"], "unencoded_bytes": sizes[i] if sizes else None, "start_offset": found["_start"], "byte_length": found["_length"]}
 
     wanted = chunks.where("offset_index_offset is not null").select("file_path", "file_size", "row_group", "column_id", "column_path", "offset_index_offset", "offset_index_length")
-    return _map(dealt(wanted), each, OFFSET_INDEX)
+    return _map(dealt(wanted, tasks), each, OFFSET_INDEX, mode=mode)
 
 
-def column_index(chunks: DataFrame) -> DataFrame:
+def column_index(chunks: DataFrame, mode: str = "FAILFAST", tasks: int | None = None) -> DataFrame:
     """A row for each page that a column index describes."""
 
     def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
@@ -265,28 +287,56 @@ def column_index(chunks: DataFrame) -> DataFrame:
                 }
 
     wanted = chunks.where("column_index_offset is not null").select("file_path", "file_size", "row_group", "column_id", "column_path", "column_index_offset", "column_index_length")
-    return _map(dealt(wanted), each, COLUMN_INDEX)
+    return _map(dealt(wanted, tasks), each, COLUMN_INDEX, mode=mode)
 
 
-def bloom_filters(chunks: DataFrame) -> DataFrame:
-    """A row for each bloom filter, with its bits."""
+def _bloom_head(ranges: Ranges, row: dict[str, Any]) -> dict[str, Any]:
+    at = row["bloom_filter_offset"]
+    head, size = ranges.span(at, lambda data, base: thrift.read("BloomFilterHeader", data, base), 256)
+    for part, kind in (("algorithm", "BLOCK"), ("hash", "XXHASH"), ("compression", "UNCOMPRESSED")):
+        if head[part][kind] is None:
+            raise Unsupported(f"a bloom filter with another {part} than {kind}")
+    if head["num_bytes"] <= 0 or head["num_bytes"] % BLOCK_BYTES:
+        raise CorruptFile(f"a bloom filter of {head['num_bytes']} bytes")
+    if row["bloom_filter_length"] is not None and row["bloom_filter_length"] != size + head["num_bytes"]:
+        raise CorruptFile("a bloom filter of another length than its chunk says")
+    sizes = {"num_bytes": head["num_bytes"], "num_blocks": head["num_bytes"] // BLOCK_BYTES, "header_length": size, "byte_length": size + head["num_bytes"]}
+    return _where(row) | {"type": row["type"], "start_offset": at} | sizes
+
+
+_BLOOM_PLACE = ("file_path", "file_size", "row_group", "column_id", "column_path", "type", "bloom_filter_offset", "bloom_filter_length")
+
+
+def bloom_filters(chunks: DataFrame, bits: bool = True, mode: str = "FAILFAST", tasks: int | None = None) -> DataFrame:
+    """A row for each bloom filter, with its bits unless only headers are wanted."""
 
     def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         with Ranges(row["file_path"], row["file_size"]) as ranges, reading("a bloom filter"):
-            at = row["bloom_filter_offset"]
-            head, size = ranges.span(at, lambda data, base: thrift.read("BloomFilterHeader", data, base), 256)
-            for part, kind in (("algorithm", "BLOCK"), ("hash", "XXHASH"), ("compression", "UNCOMPRESSED")):
-                if head[part][kind] is None:
-                    raise Unsupported(f"a bloom filter with another {part} than {kind}")
-            if head["num_bytes"] <= 0 or head["num_bytes"] % 32:
-                raise CorruptFile(f"a bloom filter of {head['num_bytes']} bytes")
-            if row["bloom_filter_length"] is not None and row["bloom_filter_length"] != size + head["num_bytes"]:
-                raise CorruptFile("a bloom filter of another length than its chunk says")
-            bits = ranges.exactly(at + size, head["num_bytes"])
-        yield _where(row) | {"type": row["type"], "start_offset": at, "num_bytes": head["num_bytes"], "num_blocks": head["num_bytes"] // 32, "header_length": size, "byte_length": size + head["num_bytes"], "bitset": bits}
-
-    wanted = chunks.where("bloom_filter_offset is not null").select("file_path", "file_size", "row_group", "column_id", "column_path", "type", "bloom_filter_offset", "bloom_filter_length")
-    return _map(dealt(wanted), each, BLOOM, 8)
+            head = _bloom_head(ranges, row)
+            yield head | ({"bitset": ranges.exactly(head["start_offset"] + head["header_length"], head["num_bytes"])} if bits else {})
+
+    wanted = chunks.where("bloom_filter_offset is not null").select(*_BLOOM_PLACE)
+    return _map(dealt(wanted, tasks), each, BLOOM, 8, mode)
+
+
+def bloom_blocks(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A row for each block of 32 bytes of each bloom filter: what one lookup reads of it."""
+    kind = _arrow(BLOOM_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with Ranges(row["file_path"], row["file_size"]) as ranges, reading("a bloom filter"):
+                    head = _bloom_head(ranges, row)
+                    start, blocks = head["start_offset"] + head["header_length"], head["num_blocks"]
+                    for at in range(0, blocks, BATCH_ROWS):
+                        n = min(BATCH_ROWS, blocks - at)
+                        data = ranges.exactly(start + at * BLOCK_BYTES, n * BLOCK_BYTES)
+                        body = pa.Array.from_buffers(pa.binary(BLOCK_BYTES), n, [None, pa.py_buffer(data)]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([*_constant(head, kind.names[:5], kind, n), _primitive(np.arange(at, at + n)), body], schema=kind)
+
+    wanted = chunks.where("bloom_filter_offset is not null").select(*_BLOOM_PLACE)
+    return dealt(wanted, tasks).mapInArrow(run, schema_of(BLOOM_BLOCK))
 
 
 def _body(ranges: Ranges, page: dict[str, Any]) -> bytes:
@@ -348,30 +398,44 @@ def decoded_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str,
                 yield (page, *page_format.decode(page, _body(ranges, page), page["codec"], page["type"], page["type_length"], page["max_definition_level"], page["max_repetition_level"], words))
 
 
-def data_pages(page_rows: DataFrame, pages_per_task: int = 64) -> DataFrame:
+def data_pages(page_rows: DataFrame, tasks: int | None = None, together: int = PAGES_TOGETHER) -> DataFrame:
     """Data pages with first_entry, the number of entries in the chunk's pages before them; spread so that a long chunk is
-    the work of several tasks."""
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("file_path", "row_group", "column_id").orderBy("page_ordinal").rowsBetween(W.unboundedPreceding, -1)
+    the work of several tasks, `together` neighbouring pages in each."""
+    chunk = ["file_path", "row_group", "column_id"]
+    before = W.partitionBy(*chunk).orderBy("page_ordinal").rowsBetween(W.unboundedPreceding, -1)
     data = page_rows.where(F.col("page_type").startswith("DATA_PAGE")).withColumn("first_entry", F.coalesce(F.sum("num_values").over(before), F.lit(0)))
-    return data.repartition("file_path", "row_group", "column_id", F.floor(F.col("page_ordinal") / pages_per_task)).sortWithinPartitions("file_path", "row_group", "column_id", "page_ordinal")
+    part = F.floor(F.col("page_ordinal") / together)
+    return data.repartition(tasks or tasks_for(page_rows.sparkSession), *chunk, part).sortWithinPartitions(*chunk, "page_ordinal")
+
+
+def _primitive(found: np.ndarray) -> pa.Array:
+    """A numpy array as an Arrow one, without a copy."""
+    return pa.Array.from_buffers(pa.from_numpy_dtype(found.dtype), len(found), [None, pa.py_buffer(np.ascontiguousarray(found))])
 
 
-def page_values(page_rows: DataFrame) -> DataFrame:
+def page_values(page_rows: DataFrame, tasks: int | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each entry of the given data pages: levels and the physical value. entry_ordinal counts within the
-    page. Filter the pages first."""
-    kind = _arrow(PAGE_VALUES)
+    page. Filter the pages first. keep: the columns that are wanted, where not all are, as the rest costs time for each
+    value."""
+    whole = schema_of(PAGE_VALUES)
+    schema = T.StructType([f for f in whole if keep is None or f.name in keep])
+    kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makers: dict[str, Callable[[int, slice, pa.Array, np.ndarray, np.ndarray, dict[str, Any]], pa.Array]] = {
+            "entry_ordinal": lambda at, s, part, dl, rl, page: _primitive(np.arange(at, at + len(part))),
+            "definition_level": lambda at, s, part, dl, rl, page: _primitive(dl[s].astype(np.int32)),
+            "repetition_level": lambda at, s, part, dl, rl, page: _primitive(rl[s].astype(np.int32)),
+            "is_null": lambda at, s, part, dl, rl, page: part.is_null(),
+            "value": lambda at, s, part, dl, rl, page: _slots(page["type"], part, kind.field("value").type),
+        }
         for page, dl, rl, found in decoded_pages(batches):
             for at in range(0, len(found), BATCH_ROWS):
-                s = slice(at, at + BATCH_ROWS)
-                part = found.slice(at, BATCH_ROWS)
-                columns = [*_constant(page, (*_PLACE, "page_ordinal"), kind, len(part)), pa.array(np.arange(at, at + len(part))), pa.array(dl[s].astype(np.int32)), pa.array(rl[s].astype(np.int32)), part.is_null(), _slots(page["type"], part, kind.field("value").type)]
+                part, s = found.slice(at, BATCH_ROWS), slice(at, at + BATCH_ROWS)
+                columns = [makers[f.name](at, s, part, dl, rl, page) if f.name in makers else pa.repeat(pa.scalar(page[f.name], f.type), len(part)) for f in kind]
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return data_pages(page_rows).mapInArrow(run, schema_of(PAGE_VALUES))
+    return data_pages(page_rows, tasks).mapInArrow(run, schema)
 
 
 def chunk_filter(columns: list[str] | None = None, groups: list[int] | None = None) -> Column:

@@ -157,11 +157,16 @@ def test_bloom_lookups(spark, bloomed, column, there, absent):
     assert metrics.probe(chunks, column, whole).where("not might_contain").count() == 0
 
 
-def test_hash_of_longs(spark):
-    rows = spark.range(-5, 5).select("id", blooms.xxh64(blooms.little_endian(F.col("id"), 8)).alias("h")).collect()
-    for r in rows:
-        h = bloom.xxh64(r.id.to_bytes(8, "little", signed=True))
-        assert r.h == (h - (1 << 64) if h >> 63 else h)
+@pytest.mark.parametrize(("kind", "type_", "values"), [
+    ("INT64", "long", [-5, -1, 0, 1, 7, 2**63 - 1, -(2**63)]), ("INT32", "int", [-5, 0, 9, -(2**31)]), ("DOUBLE", "double", [0.0, -0.0, 1.5, -2.25]), ("FLOAT", "float", [0.0, -0.0, 1.5, -2.25]),
+    ("BYTE_ARRAY", "string", ["", "a", "abc", "x" * 31, "y" * 32, "é" * 40, "z" * 77]), ("FIXED_LEN_BYTE_ARRAY", "binary", [bytearray(b"1234"), bytearray(b"12345678"), bytearray(range(61))]),
+])
+def test_hashes_are_those_of_the_format(spark, kind, type_, values):
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], f"v {type_}").select("v", blooms.hashed(F.col("v"), kind).alias("h")).collect()
+    for r in rows[:-1]:
+        h = bloom.xxh64(bloom.encode(bytes(r.v) if isinstance(r.v, bytearray) else r.v, kind))
+        assert r.h == (h - (1 << 64) if h >> 63 else h), r
+    assert rows[-1].h is None
 
 
 def test_spans_grow_by_what_is_missing(tmp_path):
