@@ -16,26 +16,35 @@ from ..format.schema import effective_logical_type
 KEYS = ("file_path", "row_group")
 
 
-def _kind(node: dict[str, Any]) -> str | None:
+def kind_of(node: dict[str, Any]) -> str | None:
+    """Name of a node's logical type."""
     logical = effective_logical_type(node)
     return logical["name"] if logical else None
 
 
+def is_element(node: dict[str, Any], only: dict[str, Any]) -> bool:
+    """Whether the repeated group of a list is the element itself: the format's rules for older files."""
+    return kind_of(only) in ("LIST", "MAP") or only["name"] in ("array", f"{node['name']}_tuple")
+
+
+def children_of(nodes: list[dict[str, Any]], leaves: set[str]) -> dict[int, list[dict[str, Any]]]:
+    """Children by their parent's id, of nodes that are, or hold, one of these leaves."""
+    found: dict[int, list[dict[str, Any]]] = {}
+    for n in nodes:
+        path = n["full_path"]
+        wanted = path in leaves if n["element_type"] == "column" else any(p.startswith(path + ".") for p in leaves)
+        if n["parent_id"] is not None and wanted:
+            found.setdefault(n["parent_id"], []).append(n)
+    return found
+
+
 class _Assembly:
     """Frames of (keys, i, dl, rl, val): i numbers the instances of a node's surroundings at their repetition depth, the
     same for all that share them; dl and rl are those of an instance's first entry."""
 
     def __init__(self, nodes: list[dict[str, Any]], streams: dict[str, DataFrame], keys: tuple[str, ...]):
         self.nodes, self.streams, self.keys = nodes, streams, list(keys)
-        self.children: dict[int, list[dict[str, Any]]] = {}
-        for n in nodes:
-            if n["parent_id"] is not None and self._wanted(n):
-                self.children.setdefault(n["parent_id"], []).append(n)
-
-    def _wanted(self, node: dict[str, Any]) -> bool:
-        if node["element_type"] == "column":
-            return node["full_path"] in self.streams
-        return any(p == node["full_path"] or p.startswith(node["full_path"] + ".") for p in self.streams)
+        self.children = children_of(nodes, set(streams))
 
     def _leaf(self, node: dict[str, Any]) -> DataFrame:
         levels = self.streams[node["full_path"]]
@@ -63,23 +72,18 @@ class _Assembly:
         if node["element_type"] == "column":
             return self._leaf(node)
         children = self.children[node["element_id"]]
-        kind, only = _kind(node), children[0]
+        kind, only = kind_of(node), children[0]
         if only["repetition"] == "REPEATED" and len(children) == 1 and kind in ("LIST", "MAP"):
             inside = self.children.get(only["element_id"], [])
             if kind == "MAP" and len(inside) > 1:
                 whole = self._joined(inside, ["key", "value", *[c["name"] for c in inside[2:]]])
-            elif kind == "MAP" and inside or len(inside) == 1 and not self._is_element(node, only):
+            elif kind == "MAP" and inside or len(inside) == 1 and not is_element(node, only):
                 whole = self.frame(inside[0])
             else:
                 whole = self._inner(only)
             return self._lists(whole, only["repetition_level"], only["definition_level"])
         return self._joined(children, [c["name"] for c in children])
 
-    @staticmethod
-    def _is_element(node: dict[str, Any], only: dict[str, Any]) -> bool:
-        """Whether the repeated group of a list is the element itself: the format's rules for older files."""
-        return _kind(only) in ("LIST", "MAP") or only["name"] in ("array", f"{node['name']}_tuple")
-
     def frame(self, node: dict[str, Any]) -> DataFrame:
         found = self._inner(node)
         if node["repetition"] == "REPEATED":

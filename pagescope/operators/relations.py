@@ -333,7 +333,7 @@ def bloom_blocks(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
                         n = min(BATCH_ROWS, blocks - at)
                         data = ranges.exactly(start + at * BLOCK_BYTES, n * BLOCK_BYTES)
                         body = pa.Array.from_buffers(pa.binary(BLOCK_BYTES), n, [None, pa.py_buffer(data)]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([*_constant(head, kind.names[:5], kind, n), _primitive(np.arange(at, at + n)), body], schema=kind)
+                        yield pa.RecordBatch.from_arrays([*_constant(head, kind.names[:5], kind, n), primitive(np.arange(at, at + n)), body], schema=kind)
 
     wanted = chunks.where("bloom_filter_offset is not null").select(*_BLOOM_PLACE)
     return dealt(wanted, tasks).mapInArrow(run, schema_of(BLOOM_BLOCK))
@@ -388,14 +388,40 @@ def dictionary_values(page_rows: DataFrame) -> DataFrame:
     return page_rows.where("page_type = 'DICTIONARY_PAGE'").mapInArrow(run, schema_of(DICTIONARY))
 
 
-def decoded_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, Any], np.ndarray, np.ndarray, pa.Array]]:
-    """Each data page with its levels and physical values. A task holds one page and one dictionary."""
+Decoded = tuple[dict[str, Any], np.ndarray, np.ndarray, pa.Array]
+
+
+def decoded_pages(batches: Iterator[pa.RecordBatch], faults: list[dict[str, Any]] | None = None) -> Iterator[Decoded]:
+    """Each data page with its levels and physical values. A task holds one page and one dictionary. faults: where pages
+    that can't be read go, with error_class and error_message; without it such a page is an error."""
     dictionaries = _Dictionaries()
     for batch in batches:
         for page in batch.to_pylist():
-            with Ranges(page["file_path"], page["file_size"]) as ranges:
-                words = dictionaries.get(ranges, page) if page["encoding"] in ("PLAIN_DICTIONARY", "RLE_DICTIONARY") else None
-                yield (page, *page_format.decode(page, _body(ranges, page), page["codec"], page["type"], page["type_length"], page["max_definition_level"], page["max_repetition_level"], words))
+            try:
+                with Ranges(page["file_path"], page["file_size"]) as ranges:
+                    words = dictionaries.get(ranges, page) if page["encoding"] in ("PLAIN_DICTIONARY", "RLE_DICTIONARY") else None
+                    levels = page["max_definition_level"], page["max_repetition_level"]
+                    found = page_format.decode(page, _body(ranges, page), page["codec"], page["type"], page["type_length"], *levels, words)
+            except (ParquetError, OSError) as error:
+                if faults is None:
+                    raise
+                faults.append(page | _fault(error))
+                continue
+            yield (page, *found)
+
+
+def with_faults(made: Iterator[pa.RecordBatch], faults: list[dict[str, Any]], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches whose last two columns, error_class and error_message, are still to come, and a row for each fault."""
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if faults:
+            yield _rows(faults, kind)
+            faults.clear()
+
+    for batch in made:
+        yield from told()
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(len(batch), pa.string()) for _ in range(2))], schema=kind)
+    yield from told()
 
 
 def data_pages(page_rows: DataFrame, tasks: int | None = None, together: int = PAGES_TOGETHER) -> DataFrame:
@@ -408,34 +434,43 @@ def data_pages(page_rows: DataFrame, tasks: int | None = None, together: int = P
     return data.repartition(tasks or tasks_for(page_rows.sparkSession), *chunk, part).sortWithinPartitions(*chunk, "page_ordinal")
 
 
-def _primitive(found: np.ndarray) -> pa.Array:
+def primitive(found: np.ndarray) -> pa.Array:
     """A numpy array as an Arrow one, without a copy."""
     return pa.Array.from_buffers(pa.from_numpy_dtype(found.dtype), len(found), [None, pa.py_buffer(np.ascontiguousarray(found))])
 
 
-def page_values(page_rows: DataFrame, tasks: int | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+def page_values(page_rows: DataFrame, tasks: int | None = None, keep: tuple[str, ...] | None = None, mode: str = "FAILFAST") -> DataFrame:
     """A row for each entry of the given data pages: levels and the physical value. entry_ordinal counts within the
     page. Filter the pages first. keep: the columns that are wanted, where not all are, as the rest costs time for each
-    value."""
+    value. PERMISSIVE adds error_class and error_message; a page that can't be read is one row with these."""
     whole = schema_of(PAGE_VALUES)
     schema = T.StructType([f for f in whole if keep is None or f.name in keep])
     kind = to_arrow_schema(schema)
+    with_errors = T.StructType([*schema, *schema_of(FAULTS)])
+    with_errors_kind = to_arrow_schema(with_errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if mode == "FAILFAST":
+            yield from decoded(batches, None)
+        else:
+            faults: list[dict[str, Any]] = []
+            yield from with_faults(decoded(batches, faults), faults, with_errors_kind)
+
+    def decoded(batches: Iterator[pa.RecordBatch], faults: list[dict[str, Any]] | None) -> Iterator[pa.RecordBatch]:
         makers: dict[str, Callable[[int, slice, pa.Array, np.ndarray, np.ndarray, dict[str, Any]], pa.Array]] = {
-            "entry_ordinal": lambda at, s, part, dl, rl, page: _primitive(np.arange(at, at + len(part))),
-            "definition_level": lambda at, s, part, dl, rl, page: _primitive(dl[s].astype(np.int32)),
-            "repetition_level": lambda at, s, part, dl, rl, page: _primitive(rl[s].astype(np.int32)),
+            "entry_ordinal": lambda at, s, part, dl, rl, page: primitive(np.arange(at, at + len(part))),
+            "definition_level": lambda at, s, part, dl, rl, page: primitive(dl[s].astype(np.int32)),
+            "repetition_level": lambda at, s, part, dl, rl, page: primitive(rl[s].astype(np.int32)),
             "is_null": lambda at, s, part, dl, rl, page: part.is_null(),
             "value": lambda at, s, part, dl, rl, page: _slots(page["type"], part, kind.field("value").type),
         }
-        for page, dl, rl, found in decoded_pages(batches):
+        for page, dl, rl, found in decoded_pages(batches, faults):
             for at in range(0, len(found), BATCH_ROWS):
                 part, s = found.slice(at, BATCH_ROWS), slice(at, at + BATCH_ROWS)
                 columns = [makers[f.name](at, s, part, dl, rl, page) if f.name in makers else pa.repeat(pa.scalar(page[f.name], f.type), len(part)) for f in kind]
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return data_pages(page_rows, tasks).mapInArrow(run, schema)
+    return data_pages(page_rows, tasks).mapInArrow(run, schema if mode == "FAILFAST" else with_errors)
 
 
 def chunk_filter(columns: list[str] | None = None, groups: list[int] | None = None) -> Column:

@@ -15,6 +15,7 @@ from .. import __name__ as package
 from ..errors import CorruptFile
 from ..format.schema import effective_logical_type
 from ..operators import relations as R
+from . import listing
 from .ranges import Ranges
 
 #: Versions of the two shapes of dumps.
@@ -120,7 +121,7 @@ def _physical(ranges: Ranges, chunk: dict[str, Any], group: int) -> dict[str, An
     return {"path_in_schema": path, "path": chunk["path"], "start_offset": R.chunk_bounds(chunk)[0], "total_byte_size": chunk["total_compressed_size"], "codec": chunk["codec"], "num_values": chunk["num_values"], "data_pages": of("DATA_PAGE", "DATA_PAGE_V2"), "index_pages": of("INDEX_PAGE"), "dictionary_page": next(iter(of("DICTIONARY_PAGE")), None), "column_index": column, "offset_index": offset, "row_group": group}
 
 
-def dump(files: DataFrame, metadata_only: bool = False) -> DataFrame:
+def dump(files: DataFrame, metadata_only: bool = False, mode: str = "FAILFAST") -> DataFrame:
     """file_path, json: one document per file of a listing. Enumerated values go by name, bytes as URL-safe base64; the
     envelope `_meta` says which shape it is. A file is the work of one task."""
 
@@ -137,7 +138,7 @@ def dump(files: DataFrame, metadata_only: bool = False) -> DataFrame:
             whole["_meta"] = {"model": model, "format_version": VERSIONS[model], "producer": package.split(".")[0]}
         yield {"file_path": row["file_path"], "json": json.dumps(whole)}
 
-    return R._map(files, each, DUMP, 4)
+    return R._map(files, each, DUMP, 4, mode)
 
 
 def is_dump(text: str) -> bool:
@@ -145,6 +146,18 @@ def is_dump(text: str) -> bool:
     return text.lstrip()[:1] == "{" and '"_meta"' in text
 
 
+def holds_dumps(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether the first bytes of one of the files are a document's, not a Parquet file's."""
+    first = listing.listed(spark, paths, tasks=1).orderBy("file_path").limit(1)
+    heads = R._map(first, lambda row: iter([{"head": _head(row)}]), "head binary").collect()
+    return bool(heads) and bytes(heads[0]["head"]).lstrip()[:1] == b"{"
+
+
+def _head(row: dict[str, Any]) -> bytes:
+    with Ranges(row["file_path"], row["file_size"]) as ranges:
+        return ranges.read(0, 64)
+
+
 def read_dumps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Documents in files of one document each."""
     found = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("json"))
@@ -166,6 +179,13 @@ def _nodes(root: dict[str, Any]) -> Iterator[dict[str, Any]]:
     yield from walk(root, None, [])
 
 
+def _document(text: str) -> dict[str, Any]:
+    try:
+        return json.loads(text)
+    except ValueError as error:
+        raise CorruptFile(f"a dump that isn't JSON: {error}") from error
+
+
 def footer_of(document: dict[str, Any]) -> dict[str, Any]:
     """A document's metadata as a row of footers."""
     try:
@@ -191,20 +211,20 @@ def footer_of(document: dict[str, Any]) -> dict[str, Any]:
         raise CorruptFile(f"a dump without {error}") from error
 
 
-def restore(dumps: DataFrame) -> DataFrame:
+def restore(dumps: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Footers of dumps; the relations over footers follow from them."""
 
     def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        yield footer_of(json.loads(row["json"]))
+        yield footer_of(_document(row["json"]))
 
-    return R._map(dumps, each, R.FOOTER, 8)
+    return R._map(dumps, each, R.FOOTER, 8, mode)
 
 
-def restore_pages(dumps: DataFrame) -> DataFrame:
+def restore_pages(dumps: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Pages of full dumps, as `pages` finds them in files."""
 
     def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        document = json.loads(row["json"])
+        document = _document(row["json"])
         if "column_chunks" not in document:
             return
         foot = footer_of(document)
@@ -221,7 +241,7 @@ def restore_pages(dumps: DataFrame) -> DataFrame:
                     "dl_encoding": p.get("definition_level_encoding"), "rl_encoding": p.get("repetition_level_encoding"), "dl_bytes": p.get("definition_levels_byte_length"), "rl_bytes": p.get("repetition_levels_byte_length"), "statistics": _statistics_back(p.get("statistics")),
                 }
 
-    return R._map(dumps, each, R.PAGE)
+    return R._map(dumps, each, R.PAGE, mode=mode)
 
 
 def metadata_only(dumps: DataFrame) -> DataFrame:
