@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagescope.llm import minhash, pivots, suffix, vptree
+from pagescope.llm import vectors as vectors_
 from pagescope.llm.common import shingle_sets
 from pagescope.llm.components import components
 from pagescope.llm.gsaca import suffix_array
@@ -354,6 +355,42 @@ def test_nearest_with_rows_repeated_often(spark, factor):
     assert found[5][:2] == [3, 8] and found[60][0] == 40
 
 
+@pytest.mark.parametrize("factor", [1.0, vptree.FACTOR])
+def test_ties_go_to_smaller_ids_wherever_their_vectors_are(spark, factor):
+    """Vectors of one direction, scaled by powers of two and by other numbers, and vectors as far on different sides: ties
+    of exact cosines, many more than k, in many shards; and lengths whose squares overflow or vanish."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-8, 9, 12).astype(float)
+    rows = [(i, (base * 2.0 ** (i % 40 - 20)).tolist(), 0) for i in range(1, 200)]
+    rows += [(1000 + i, (base * m).tolist(), 0) for i, m in enumerate((3.0, 5.0, 7.0, 1e200, 1e-200, 2.0**900))]
+    for i in range(300):
+        other = np.zeros(12)
+        other[i % 12] = (-1) ** (i // 12)
+        rows.append((2000 + i, other.tolist(), 0))
+    rows += [(3000, [1.0] * 12, 0), (3050, [1e200] * 12, 0)] + [(4000 + i, rng.standard_normal(12).tolist(), 0) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), list(map(float, v)), int(n)) for i, v, n in rows], "vec_id long, embedding array<double>, label int").repartition(5)
+    found = defaultdict(list)
+    for r in vptree.nearest(df, df.where("vec_id in (1, 7, 50, 100, 1003, 2000, 3000, 3050)"), k=5, factor=factor, shard_rows=50).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    vectors = {i: vectors_.scaled(np.array([v], float))[0] for i, v, _ in rows}
+    for query in (1, 7, 50, 100, 1003, 2000, 3000, 3050):
+        others = [i for i in vectors if i != query]
+        scores = vectors_.cosine(np.tile(vectors[query], (len(others), 1)), np.array([vectors[i] for i in others]))
+        want = sorted(zip(others, scores.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:5]
+        if factor == 1.0 or want[-1][1] > 0.99:
+            assert found[query] == want, query
+        assert all(np.isfinite(s) for _, s in found[query]) and len(found[query]) == 5
+    assert [i for i, _ in found[7]] == [i for i in range(1, 7) if i != 7][:5]
+
+
+def test_a_group_of_copies_travels_as_few_rows():
+    x = np.repeat(np.random.default_rng(1).standard_normal((3, 4)), (5000, 1, 20), 0)
+    ids = np.concatenate([np.arange(5000)[::-1], [7], np.arange(20)])
+    kept = vptree._few(ids, x * 2.0 ** (np.arange(len(x)) % 5)[:, None], 10)
+    assert sorted(ids[kept].tolist()) == sorted([*range(10), 7, *range(10)])
+
+
 def test_near_duplicate_stage_drops_near_duplicates_only(spark):
     """Texts of one doc_id go by themselves; what stays of repeated rows doesn't depend on their order."""
     rng = random.Random(12)
