@@ -272,29 +272,44 @@ def test_near_vectors(spark):
     assert pivots.near_vectors(spark.createDataFrame([], EMBEDDED)).count() == 0
 
 
-def test_short_and_long_lists_find_the_same():
-    rng = np.random.default_rng(2)
-    x = np.repeat(rng.standard_normal((4, 8)), 6, 0) + 0.05 * rng.standard_normal((24, 8))
-    permutation = np.array([[1, 4, 6, *rng.permutation([0, 2, 3, 5, 7, 8, 9])[:2]] for _ in range(24)])
-    permutation[:12, 3:] = [[0, 2]]
-    code = 1 + (4 << 16) + (6 << 32)
-    table = pa.table({"side": [0] * 24, "list": [code] * 24, "low": [0] * 24, "high": [0] * 24, "own": [0] * 24, "class": list(range(24)), "rep": list(range(24)), "copies": [1 + i % 3 for i in range(24)], "vector": x.tolist(), "permutation": permutation.tolist()})
-    found = []
-    for short in (32, 1):
-        pivots.SHORT, old = short, pivots.SHORT
-        links, edges = Counter(), defaultdict(set)
-        for batch in pivots._compared(table, 0.93, 3):
-            for c, n, a, b in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
-                links[c] += n
-                edges[a].add(b)
-        pivots.SHORT = old
-        up = list(range(24))
-        for _ in range(24):
-            for a, bs in edges.items():
-                for b in bs:
-                    up[a] = up[b] = min(up[a], up[b])
-        found.append((links, up))
-    assert found[0] == found[1] and sum(found[0][0].values()) > 0
+def links_by_brute_force(x: np.ndarray, label: np.ndarray, least: float) -> set[tuple[int, int]]:
+    u = vectors_.unit(x.astype(float))
+    a, b = np.nonzero(np.triu(u @ u.T >= least, 1) & (label[:, None] == label[None, :]))
+    return set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def spread_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random vectors, and pairs of them just above the threshold, where the index is weakest."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 48))
+    for i in range(0, n // 2, 2):
+        own = x[i] / np.linalg.norm(x[i])
+        away = rng.standard_normal(48)
+        away -= own * (away @ own)
+        c = rng.uniform(0.931, 0.97)
+        x[i + 1] = c * own + np.sqrt(1 - c * c) * away / np.linalg.norm(away)
+    return x.astype(np.float32), np.arange(n) // 2 % 2
+
+
+@pytest.mark.parametrize(("n", "exact"), [(1500, False), (6000, False), (1500, True)])
+def test_recall_of_the_permutation_index(spark, monkeypatch, n, exact):
+    monkeypatch.setattr(pivots, "BLOCK", 700)
+    x, label = spread_vectors(n, 4)
+    df = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, label, strict=True))], EMBEDDED)
+    want = Counter(i for pair in links_by_brute_force(x, label, 0.93) for i in pair)
+    found = {r.vec_id: r.n_links for r in pivots.near_vectors(df, exact=exact).collect()}
+    assert all(found[i] <= want[i] for i in range(n))
+    share = sum(found.values()) / sum(want.values())
+    assert share == 1 if exact else share >= 0.97
+
+
+def test_lists_come_whole_whatever_the_batches():
+    rng = np.random.default_rng(3)
+    names = np.sort(rng.integers(0, 12, 200))
+    table = pa.table({"label": [f"l{x // 4}" for x in names], "dim": [3] * 200, "list": names % 4, "low": [0] * 200, "high": [0] * 200, "place": range(200)})
+    for size in (1, 3, 7, 50, 200):
+        found = [(t["label"][0].as_py(), t["list"][0].as_py(), t["place"].to_pylist()) for t in pivots._whole_lists(iter(table.to_batches(max_chunksize=size)))]
+        assert found == [(f"l{x // 4}", x % 4, np.flatnonzero(names == x).tolist()) for x in np.unique(names).tolist()]
 
 
 def test_nearest_is_exact_at_factor_one(spark):
