@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, STEP_BYTES, cut, text_steps, tidy
+from .common import Rolling, STEP_BYTES, cut, mix64, text_steps, tidy
 from .gsaca import suffix_array
 
 #: Bytes of a string that counts as repeated, and of the substrings that anchor one.
@@ -80,6 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
         before = p - distance[of]
         same = before >= offsets[text[again]][of]
         same[same] = whole[p[same]] == whole[before[same]]
+        same[same] = _equal(data, p[same], before[same], window)
         mark = np.zeros(len(whole), bool)
         mark[p[same]] = mark[before[same]] = True
         first, last = _runs(mark)  # of one text each: other texts' windows lie apart
@@ -96,75 +96,183 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     return text, name.view(np.int64), low, high, *covered
 
 
-def _matches(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cuts, first cut of each stretch, matched): stretches in data are cut into chunks where their content says so;
-    matched[i] is the largest number of chunks from cut i on that also follow another cut, by the suffix array of
-    the chunks. Parts of stretches before the first and after the last cut are no chunks."""
-    small = rolling.all(CUT)
-    is_cut = (small & np.uint64((1 << CUT_BITS) - 1)) == 0
-    cuts = np.flatnonzero(is_cut)
-    stretch = np.searchsorted(offsets, cuts, side="right") - 1
-    inside = cuts + CUT <= offsets[stretch + 1]
-    cuts, stretch = cuts[inside], stretch[inside]
-    bounds = np.searchsorted(stretch, np.arange(len(offsets)))
-    if not len(cuts):
-        return cuts, bounds, np.zeros(0, np.int64)
-    follows = np.append(stretch[1:] == stretch[:-1], False)  # the chunk from this cut to the next is whole
-    chunk = rolling.of(cuts[:-1], cuts[1:])
-    _, rank = np.unique(chunk[follows[:-1]], return_inverse=True)
-    symbol = np.zeros(len(cuts), np.int64)  # 0: the end of a stretch
-    symbol[follows] = rank + 1
+def _equal(data: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> np.ndarray:
+    """Whether data[one[i]:one[i] + length] and data[two[i]:two[i] + length] are equal, byte by byte. Neighbours that go on
+    together are compared in one go; one must be ascending."""
+    if not len(one):
+        return np.zeros(0, bool)
+    new = np.append(True, (np.diff(one) != 1) | (np.diff(two) != 1))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(one))) + length - 1
+    out = np.ones(len(one), bool)
+    for low, high in _steps(size):
+        run, at = _ragged(one[first[low:high]], size[low:high])
+        differs = data[at] != data[at + (two - one)[first[low:high]][run]]
+        if differs.any():
+            start = at - one[first[low:high]][run] - length + 1  # first window of its run that has the byte
+            for i in np.flatnonzero(differs).tolist():
+                of = first[low + run[i]]
+                out[of + max(0, int(start[i])) : of + min(int(at[i] - one[of]), int(size[low + run[i]]) - length) + 1] = False
+    return out
+
+
+def _steps(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring items of SEGMENT together, about."""
+    total, low = np.cumsum(size), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + SEGMENT, side="right")))
+        yield low, high
+        low = high
+
+
+def _sorted_common(symbol: np.ndarray, left: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of symbol, and for each of its entries but the last the symbols that it has in common with the
+    next one: `most` at most, and no more than are left in either's stretch."""
     order = np.array(suffix_array(symbol), np.int64)
-    chunks_left = bounds[1:][stretch] - 1 - np.arange(len(cuts))
     one, two = order[:-1], order[1:]
-    common, reach = np.zeros(len(one), np.int64), np.minimum(chunks_left[one], chunks_left[two])
-    going = np.flatnonzero(reach > 0)
-    step = 0
+    common, reach = np.zeros(len(one), np.int64), np.minimum(np.minimum(left[one], left[two]), most)
+    going, step = np.flatnonzero(reach > 0), 0
     while len(going):
         going = going[symbol[one[going] + step] == symbol[two[going] + step]]
-        common[going] = step = step + 1
+        step += 1
+        common[going] = step
         going = going[reach[going] > step]
-        if step > WINDOW:
-            break
-    matched = np.zeros(len(cuts), np.int64)
-    np.maximum.at(matched, one, common)
-    np.maximum.at(matched, two, common)
-    return cuts, bounds, matched
+    return order, common
+
+
+def _intervals(common: np.ndarray, rank: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, whether it holds others): of the interval of the suffix array around each rank whose neighbours have `least`
+    symbols in common."""
+    table = [common]
+    while len(table[-1]) > 1 << (len(table) - 1):
+        wide = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-wide], table[-1][wide:]))
+    start = rank.copy()
+    for level in range(len(table) - 1, -1, -1):
+        if not len(table[level]):
+            continue
+        before = start - (1 << level)
+        goes = (before >= 0) & (table[level][np.maximum(before, 0).clip(max=len(table[level]) - 1)] >= least)
+        start[goes] = before[goes]
+    after = np.append(common, 0)[rank] >= least
+    return start, after | (start < rank)
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cuts, bounds, symbols, chunks left): places where the content says that a chunk of its stretch ends and the next one
+    starts; stretch i has the cuts bounds[i]:bounds[i + 1]. A chunk is a symbol, 0 the end of a stretch."""
+    small = rolling.all(CUT)
+    cuts = np.flatnonzero((small & np.uint64((1 << CUT_BITS) - 1)) == 0)
+    stretch = np.searchsorted(offsets, cuts, side="right") - 1
+    inside = cuts + CUT <= offsets[stretch + 1]
+    cuts, stretch = cuts[inside], stretch[inside]
+    bounds = np.searchsorted(stretch, np.arange(len(offsets)))
+    symbol = np.zeros(len(cuts), np.int64)
+    if len(cuts) > 1:
+        follows = np.append(stretch[1:] == stretch[:-1], False)  # the chunk from this cut to the next is whole
+        _, rank = np.unique(rolling.of(cuts[:-1], cuts[1:])[follows[:-1]], return_inverse=True)
+        symbol[follows] = rank + 1
+    return cuts, bounds, symbol, bounds[1:][stretch] - 1 - np.arange(len(cuts))
+
+
+def _twice(key: np.ndarray, at: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """The windows at `at` (ascending) that another one with the same key equals, byte by byte."""
+    _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+    several = times[which] > 1
+    which, at = which[several], at[several]
+    if not len(at):
+        return at
+    order = np.argsort(which, kind="stable")
+    start = np.searchsorted(which[order], which[order])
+    partner = np.empty(len(at), np.int64)
+    partner[order] = at[order[np.where(start == np.arange(len(order)), np.minimum(start + 1, len(order) - 1), start)]]
+    same = _equal(data, at, partner, window)
+    if not same.all():  # equal keys of different windows: each such key by its windows' bytes
+        for one in np.unique(which[~same]).tolist():
+            own = np.flatnonzero(which == one)
+            texts = [data[at[i] : at[i] + window].tobytes() for i in own.tolist()]
+            same[own] = [texts.count(t) > 1 for t in texts]
+    return at[same]
+
+
+def _by_chunks(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Places of the windows in data that occur again in their group, by the suffix array of the stretches' chunks.
+
+    A window's whole chunks, k of them from its first cut on, are those of the windows whose first cuts lie in the
+    same interval of the suffix array: the one whose neighbours have k symbols in common. Of these, windows with the
+    same bytes before the first and after the last cut are the same, which their bytes confirm. Windows without a whole
+    chunk go to the suffix array of their bytes."""
+    rolling = Rolling(data)
+    cuts, bounds, symbol, left = _cuts(data, offsets, rolling)
+    of, p = _ragged(offsets[:-1], np.maximum(0, np.diff(offsets) - window + 1))
+    low = np.searchsorted(cuts, p)
+    high = np.minimum(np.searchsorted(cuts, p + window - CUT, side="right"), bounds[1:][of]) - 1  # later ones depend on bytes outside
+    chunks = high - low
+    bare = chunks <= 0
+    found = [_by_bytes(data, of[bare], p[bare], group, window)] if bare.any() else []
+    of, p, low, high, chunks = (x[~bare] for x in (of, p, low, high, chunks))
+    if len(p):
+        order, common = _sorted_common(symbol, left, window)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        new = np.append(True, (np.diff(low) != 0) | (np.diff(chunks) != 0))
+        run = np.cumsum(new) - 1
+        start, shared = _intervals(common, rank[low[new]], chunks[new])
+        some = shared[run]
+        of, p, low, high, run = of[some], p[some], low[some], high[some], run[some]
+        key = start[run].astype(np.uint64) * np.uint64(window + 1) + (cuts[low] - p).astype(np.uint64)
+        key = mix64(mix64(key) + rolling.of(p, cuts[low])) + rolling.of(cuts[high], p + window)
+        found.append(_twice(mix64(key) ^ group[of].view(np.uint64), p, data, window))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _by_bytes(data: np.ndarray, of: np.ndarray, p: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """Places among the windows p of stretches `of` that occur again in their group, by the suffix array of their bytes."""
+    new = np.append(True, (np.diff(p) != 1) | (of[1:] != of[:-1]))
+    first, last = p[new], p[np.append(new[1:], True)]
+    size = last - first + window
+    part, at = _ragged(first, size + 1)
+    ends = np.cumsum(size + 1) - 1
+    symbol = data[np.minimum(at, len(data) - 1)].astype(np.int64) + 1
+    symbol[ends] = 0
+    order, common = _sorted_common(symbol, ends[part] - np.arange(len(part)), window)
+    enough = common >= window
+    start = np.concatenate([[0], np.cumsum(~enough)])
+    key = np.empty(len(order), np.int64)
+    key[order] = start
+    starts = np.flatnonzero(ends[part] - np.arange(len(part)) >= window)
+    owner = of[np.flatnonzero(new)][part[starts]]
+    return _twice(mix64(key[starts].astype(np.uint64)) ^ group[owner].view(np.uint64), at[starts], data, window)
 
 
 def repeated(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
-    """Whether the window at each position of data (within a stretch) occurs in another stretch of its group.
+    """Whether the window at each position of data (within a stretch) occurs again in its group: in another stretch, or
+    elsewhere in its own.
 
-    Equal stretches are told by their hash. Among the different ones, the suffix array finds for each chunk how
-    many chunks from it on occur elsewhere; a window whose whole chunks don't all occur elsewhere occurs nowhere
-    else. The windows that are left are checked exactly, by a hash of all their bytes."""
+    Of equal stretches, two go to the suffix array and the others take over what it finds for these."""
     found = np.zeros(len(data), bool)
-    rolling = Rolling(data)
-    key = rolling.of(offsets[:-1], offsets[1:]) ^ group.view(np.uint64)
-    _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    twice = count[which] > 1
-    for start, end in zip(offsets[:-1][twice].tolist(), offsets[1:][twice].tolist(), strict=True):
-        found[start : end - window + 1] = True
-    first.sort()
-    _, in_group, group_size = np.unique(group[first], return_inverse=True, return_counts=True)
-    rep = first[group_size[in_group] > 1]
-    if len(rep):
-        own_length = offsets[rep + 1] - offsets[rep]
-        _, source = _ragged(offsets[rep], own_length)
-        sub, at = data[source], np.concatenate([[0], np.cumsum(own_length)])
-        mine = Rolling(sub)
-        cuts, bounds, matched = _matches(sub, at, mine)
-        of, p = _ragged(at[:-1], np.maximum(0, own_length - window + 1))
-        from_cut = np.searchsorted(cuts, p)
-        to_cut = np.searchsorted(cuts, p + window - CUT, side="right") - 1  # later ones depend on bytes outside
-        to_cut = np.minimum(to_cut, bounds[1:][of] - 1)
-        chunks = to_cut - from_cut
-        likely = (chunks <= 0) | (np.append(matched, 0)[np.minimum(from_cut, len(matched))] >= chunks)
-        of, p = of[likely], p[likely]
-        hashed = mine.of(p, p + window) ^ group[rep][of].view(np.uint64)
-        _, back, times = np.unique(hashed, return_inverse=True, return_counts=True)
-        hit = p[times[back] > 1]
-        found[source[hit]] = True
+    length = np.diff(offsets)
+    key = Rolling(data).of(offsets[:-1], offsets[1:]) ^ group.view(np.uint64)
+    order = np.lexsort((np.arange(len(key)), key, group))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1]))
+    place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of the stretches in order
+    copies = order[place > 1]
+    of = first[place > 1]
+    same = length[copies] == length[of]
+    for i in np.flatnonzero(same).tolist():
+        a, b, n = offsets[copies[i]], offsets[of[i]], length[of[i]]
+        same[i] = bool((data[a : a + n] == data[b : b + n]).all())
+    kept = np.sort(np.concatenate([order[place <= 1], copies[~same]]))
+    _, in_group, size = np.unique(group[kept], return_inverse=True, return_counts=True)
+    kept = kept[(size[in_group] > 1) | (length[kept] >= 2 * window)]
+    if len(kept):
+        _, source = _ragged(offsets[kept], length[kept])
+        at = np.concatenate([[0], np.cumsum(length[kept])])
+        found[source[_by_chunks(data[source], at, group[kept], window)]] = True
+    for copy, rep in zip(copies[same].tolist(), of[same].tolist(), strict=True):
+        n = length[rep]
+        found[offsets[copy] : offsets[copy] + n] = found[offsets[rep] : offsets[rep] + n]
     return found
 
 
@@ -268,54 +376,78 @@ def _compared(stretches: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), SPANS)
 
 
-def _hot(stretches: DataFrame, window: int) -> DataFrame:
-    """SPANS as _compared, for anchors that occur so often that one task should not see all their stretches: equal
-    stretches are counted first, then the windows of the different ones, each as a row, by their hash."""
-    keyed = stretches.withColumn("same", F.xxhash64("name", "stretch"))
-    kinds = cut(keyed.groupBy("same").agg(F.count("*").alias("n"), F.first("stretch").alias("stretch"), F.first("name").alias("name")))
+def _split(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """Rows (name, doc_key, low, stretch, start, known) of groups that are too large for one task, as rows of smaller groups.
+
+    All windows of a group hold the same `known` bytes, in a stretch from `start` on (-1: the anchor's, to be looked for).
+    The bytes that a window has besides lie to the left of these for one half or more, or to the right for more than
+    half. By that, windows are told apart, with so many of those bytes more known: the new group's name is their hash.
+    Halves of halves end with whole windows, so no group of different stretches stays large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, name = batch["same"].to_numpy(), batch["name"].to_numpy()
-            for row, end, data, offsets in text_steps(batch["stretch"], STEP_BYTES):
-                of, p = _ragged(offsets[:-1], np.maximum(0, np.diff(offsets) - window + 1))
-                hashed = Rolling(data).of(p, p + window) ^ name[row:end][of].view(np.uint64)
-                for at in range(0, len(p), 100_000):
-                    s = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashed[s].view(np.int64)), pa.array(same[row:end][of[s]]), pa.array((p - offsets[of])[s].astype(np.int32))], ["window", "same", "at"])
-
-    windows = kinds.select("same", "name", "stretch").mapInArrow(tidy(run), "window long, same long, at int")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    kind = "array<struct<first:long,last:long>>"
-
-    @F.pandas_udf(kind)
-    def runs(places: pd.Series) -> pd.Series:
-        """Bytes that the windows at these places cover, as runs of neighbouring windows."""
-
-        def one(at: np.ndarray) -> list[dict]:
-            at = np.sort(at)
-            edge = np.append(np.flatnonzero(np.diff(at) > 1), len(at) - 1)
-            return [{"first": int(f), "last": int(t) + window} for f, t in zip(at[np.append(0, edge[:-1] + 1)], at[edge], strict=True)]
-
-        return places.map(one)
-
-    hits = windows.join(twice, "window").groupBy("same").agg(F.collect_set("at").alias("at")).select("same", runs("at").alias("runs"))
-    length = F.octet_length("stretch").cast("long")
-    whole = kinds.where("n > 1").select("same", F.array(F.struct(F.lit(0).cast("long").alias("first"), length.alias("last"))).cast(kind).alias("runs"))
-    each = keyed.select("doc_key", "low", "same").join(whole.unionByName(hits), "same").select("doc_key", "low", F.explode("runs").alias("run"))
-    return each.select("doc_key", (F.col("low") + F.col("run.first")).alias("start"), (F.col("low") + F.col("run.last")).alias("end"))
+            out: list[tuple] = []
+            for name, doc, low, stretch, start, known in zip(*(batch[c].to_pylist() for c in ("name", "doc_key", "low", "stretch", "start", "known")), strict=True):
+                body = np.frombuffer(stretch, np.uint8)
+                rolling = Rolling(body)
+                if start < 0:
+                    start = int(np.flatnonzero(rolling.all(gram).view(np.int64) == name)[0])
+                rest, last = window - known, len(body) - window
+                left = -(-rest // 2)
+                right = rest - left + 1
+                for side, first, final, at, size in ((1, 0, min(last, start - left), start - left, known + left), (2, max(0, start - left + 1), last, start, known + right)):
+                    if first <= final and size <= window:
+                        told = mix64(rolling.of(np.array([at]), np.array([at + size])) + np.uint64(side))
+                        told = mix64(told ^ np.array([name], np.int64).view(np.uint64))
+                        out.append((int(told.view(np.int64)[0]), doc, low + first, stretch[first : final + window], at - first, size))
+                if len(out) > 2000:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "doc_key", "low", "stretch", "start", "known"])
+
+    return rows.mapInArrow(tidy(run), "name long, doc_key long, low long, stretch binary, start int, known int")
+
+
+def _hot(stretches: DataFrame, window: int, gram: int, hot: int) -> list[DataFrame]:
+    """SPANS as _compared, for anchors that occur so often that one task should not see all their stretches. Equal stretches
+    repeat each other; one of each goes on, to _compared in groups of up to `hot`, and larger groups are split."""
+    rows = stretches.select("name", "doc_key", "low", "stretch", F.lit(-1).alias("start"), F.lit(gram).alias("known"))
+    found: list[DataFrame] = []
+    while True:
+        rows = cut(rows.withColumn("same", F.md5(F.concat(F.col("name").cast("string").cast("binary"), F.col("stretch")))))
+        one = F.first(F.struct("name", "doc_key", "low", "stretch", "start", "known"))
+        kinds = cut(rows.groupBy("same").agg(F.count("*").alias("n"), one.alias("one")))
+        copies = rows.join(kinds.where("n > 1").select("same"), "same")
+        found.append(copies.select("doc_key", F.col("low").alias("start"), (F.col("low") + F.octet_length("stretch")).alias("end")))
+        kinds = kinds.select("one.*")
+        sizes = kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(_compared(kinds.join(sizes.where(F.col("n") <= hot), "name"), window))
+        large = cut(kinds.join(sizes.where(F.col("n") > hot).select("name"), "name"))
+        if not large.limit(1).count():
+            return found
+        rows = _split(large, window, gram)
 
 
 def repeated_spans(docs: DataFrame, packed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """SPANS whose union are the bytes of each document that a string of `window` bytes covers which also starts
     anywhere else."""
     rows = cut(_anchor_rows(docs, window, gram))
-    known = rows.where("name is null").select("doc_key", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("end"))
+    found = rows.where("name is null").select("doc_key", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("end"))
     named = rows.where("name is not null")
     twice = named.groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
     stretches = cut(_stretches(packed, named.join(twice, "name"), window))
-    few = _compared(stretches.where(F.col("times") <= hot), window)
-    return known.unionByName(few).unionByName(_hot(stretches.where(F.col("times") > hot), window))
+    parts = [_compared(stretches.where(F.col("times") <= hot), window)]
+    often = stretches.where(F.col("times") > hot)
+    if often.limit(1).count():
+        parts += _hot(often, window, gram, hot)
+    for part in parts:
+        found = found.unionByName(part)
+    return found
 
 
 def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
@@ -323,9 +455,10 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = W
     as_text: kept is text; what a cut has left of a character goes, too.
 
     Anchors whose hash occurs once in the corpus end there. For the others, the stretch of bytes around each is
-    dealt by anchor, and _compared finds the windows that occur in several stretches with suffix arrays made by
-    linear grouping (gsaca), then an exact check. Documents and anchors travel; windows as rows only for anchors that
-    occur more than `hot` times. Texts travel compressed.
+    dealt by anchor, and _compared finds the windows that occur again from intervals of suffix arrays made by linear
+    grouping (gsaca); their bytes confirm it. Groups of more than `hot` stretches are split by further bytes first.
+    Windows that repeat their neighbours in a text (periods) are told by comparing the text with itself, shifted.
+    Hashes deal work out; bytes decide. Documents and anchors travel, texts compressed.
 
     Null text: empty. Strings never cross documents; a document may repeat itself, also with overlaps. Rows of equal
     doc_id and text are documents that repeat each other. Null doc_id: as any other. Empty table: no rows. Other

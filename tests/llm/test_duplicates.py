@@ -63,7 +63,7 @@ def repeating_rows(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 2, 5])
 def test_repeats_are_removed(spark, hot):
     rows = repeating_rows(1) + odd_rows()
     df = spark.createDataFrame(rows, KIND).repartition(4)
@@ -103,6 +103,43 @@ def test_windows_of_stretches_against_all_pairs():
                 assert sum(own[k : k + 8] == p[j : j + 8].tobytes() for k in range(len(own) - 7)) > 1
 
 
+def test_a_wrong_suffix_array_changes_the_answer(monkeypatch):
+    rng = random.Random(6)
+    passage = words(rng, 80).encode()
+    texts = [words(rng, 40).encode() + passage + words(rng, 40).encode() for _ in range(6)] + [passage] * 3 + [b"ab" * 300, b"cab" * 200]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    group = np.zeros(len(texts), np.int64)
+    right = suffix.repeated(data, offsets, group, 100)
+    assert right.sum() > 6 * 200
+    for wrong in (lambda x: list(range(len(x))), lambda x: suffix_array(x)[::2] + suffix_array(x)[1::2]):
+        monkeypatch.setattr(suffix, "suffix_array", wrong)
+        assert suffix.repeated(data, offsets, group, 100).sum() < right.sum()
+
+
+@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 2 + 97 for x in b)), min_size=1, max_size=8), st.integers(3, 9))
+@settings(max_examples=200, deadline=None)
+def test_repeated_windows_of_small_alphabets(texts, window):
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = suffix.repeated(data, offsets, np.zeros(len(texts), np.int64), window)
+    count = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    once = Counter({t: sum(t in x for x in texts) for t in count})
+    for i, t in enumerate(texts):
+        for j in range(len(t) - window + 1):
+            own = t[j : j + window]
+            assert got[offsets[i] + j] <= (count[own] > 1) and (once[own] < 2 or got[offsets[i] + j])
+
+
+def test_bytes_decide_where_hashes_agree(monkeypatch):
+    """Even if all hashes of partial chunks were equal, only equal windows count."""
+    rng = random.Random(7)
+    texts = [words(rng, 60).encode() for _ in range(12)]
+    texts += [texts[0][50:250] + words(rng, 5).encode(), texts[0]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    right = suffix.repeated(data, offsets, np.zeros(len(texts), np.int64), 80)
+    monkeypatch.setattr(suffix, "mix64", lambda x: x & np.uint64(1))
+    assert (suffix.repeated(data, offsets, np.zeros(len(texts), np.int64), 80) == right).all() and right.any()
+
+
 def shingles(text: str | None, k: int) -> frozenset:
     own = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]+", lambda m: m[0].lower(), (text or "").encode()))
     return frozenset(tuple(own[i : i + k]) for i in range(len(own) - k + 1)) if len(own) >= k else frozenset([tuple(own)] if own else [])
