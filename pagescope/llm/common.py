@@ -54,21 +54,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir. A temporary one only where none is set and all tasks run on this machine, as in
+    tests: on a cluster the executors share no such folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost nothing. The table stays
+    until `clean`, as results may still be read from it."""
+    spark = df.sparkSession
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes what `cut` has written in this application; results that are not written yet are lost with it."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

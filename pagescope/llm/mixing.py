@@ -41,35 +41,60 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST_EPOCHS,
     return stepped.withColumn("level", F.coalesce(first, F.lit(float("inf")))).select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = SHARE, most: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, key for each row of documents.
+def plan(docs: DataFrame, labels: DataFrame | None = None, share: float = SHARE, most: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, source, text_key, size, rows, source_size, target, key, epochs, extra for each different (doc_id, source, text)
+    of documents: `rows` of them are equal; the mix takes each `epochs` times, and `extra` of them once more.
 
     A source's budget buys whole epochs first: every document once for each. What is left buys documents in the
-    order of the keys -ln(u) / weight, u from a hash of doc_id, as long as taking the next one brings the words
-    taken nearer to the target. The keys' range has PARTS parts with a sum of sizes each; parts before the one in
-    which the budget ends are taken whole, and only that part is sorted, so no source passes through one task.
-
-    Null text has no words; null source is a source, the last; null doc_id has a key as any other. Repeated rows
-    are documents by themselves; ties go by doc_id, then size. A source without words has target 0. Empty table:
-    no rows."""
-    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    rows = quality_weight(sized, labels).select("doc_id", "source", "size", (-F.log(uniform("doc_id")) / F.col("weight")).alias("key"))
+    order of the keys -ln(u) / weight, u from a hash of doc_id (without one, of the text), as long as taking the next one
+    brings the words taken nearer to the target. The keys' range has PARTS parts with a sum of sizes each; parts before
+    the one in which the budget ends are taken whole, and only that part is sorted, so no source passes through one
+    task, and neither do equal rows, which are counted, or rows without a doc_id, whose texts spread them."""
+    keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("size"))
+    counted = cut(keyed.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("rows")))
+    u = F.when(F.col("doc_id").isNotNull(), uniform("doc_id")).otherwise(uniform("doc_id", "text_key"))
+    rows = quality_weight(counted, labels).withColumn("key", -F.log(u) / F.col("weight")).drop("weight")
     rows = rows.withColumn("part", F.floor((1 - F.exp(-F.col("key"))) * PARTS))
-    sums = cut(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
+    sums = cut(rows.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("rows")).alias("part_size")))
     budget = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), share, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = budget.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     before = F.coalesce(F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     a, b = sums.withColumn("before", before), budget.withColumnRenamed("source", "of")
-    plan = cut(a.join(b, a["source"].eqNullSafe(b["of"])).drop("of").withColumnRenamed("source", "plan_source").withColumnRenamed("part", "plan_part"))
-    with_plan = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]) & (rows["part"] == plan["plan_part"]))
-    out = ["doc_id", "source", "size", "source_size", "target", "key", "epochs"]
+    parts = a.join(b, a["source"].eqNullSafe(b["of"])).drop("of")
+    parts = cut(parts.withColumnRenamed("source", "plan_source").withColumnRenamed("part", "plan_part"))
+    planned = rows.join(parts, rows["source"].eqNullSafe(parts["plan_source"]) & (rows["part"] == parts["plan_part"]))
     ends_here = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") > F.col("rest"))
-    whole = with_plan.where(~ends_here).withColumn("extra", (F.col("before") + F.col("part_size") <= F.col("rest")) & (F.col("rest") > 0))
-    running = F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    ending = with_plan.where(ends_here).withColumn("extra", F.col("before") + running - F.col("size") / 2 <= F.col("rest"))
-    whole = whole.select(*out, "extra").unionByName(ending.select(*out, "extra"))
-    return whole.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("extra").cast("long")))
+    all_of_it = (F.col("before") + F.col("part_size") <= F.col("rest")) & (F.col("rest") > 0)
+    whole = planned.where(~ends_here).withColumn("extra", F.when(all_of_it, F.col("rows")).otherwise(0))
+    order = W.partitionBy("source").orderBy("key", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
+    taken = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0))
+    fits = (taken + F.col("size") - F.col("size") / 2 <= F.col("rest")).cast("long")
+    several = F.floor((F.col("rest") - taken) / F.greatest("size", F.lit(1)) + 0.5)
+    some = F.when((F.col("rows") == 1) | (F.col("size") == 0), fits * F.col("rows")).otherwise(F.greatest(F.lit(0), F.least("rows", several)))
+    ending = planned.where(ends_here).withColumn("extra", some)
+    out = ["doc_id", "source", "text_key", "size", "rows", "source_size", "target", "key", "epochs", "extra"]
+    return whole.select(*out).unionByName(ending.select(*out))
+
+
+#: Equal rows that one row of a task becomes at a time.
+RUN_ROWS = 100_000
+
+
+def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = SHARE, most: float = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, key, epochs, extra (0 or 1), taken for each row of documents; see `plan`.
+
+    Null text has no words; null source is a source, the last; rows without a doc_id are documents by themselves, keyed
+    by their texts. Repeated rows are documents by themselves; ties go by doc_id, then size, then the text's hash. A
+    source without words has target 0. Empty table: no rows."""
+    planned = plan(docs, labels, share, most, weights)
+    single = planned.where("rows = 1")
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RUN_ROWS))
+    first = F.col("run") * RUN_ROWS
+    several = planned.where("rows > 1").withColumn("run", F.explode(runs)).withColumn("nth", F.explode(F.sequence(first, F.least(first + RUN_ROWS, F.col("rows")) - 1)))
+    several = several.withColumn("extra", (F.col("nth") < F.col("extra")).cast("long")).drop("run", "nth")
+    rows = single.unionByName(several).drop("rows", "text_key")
+    return rows.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("extra")))
 
 
 def quality_weight(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -78,4 +103,5 @@ def quality_weight(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
         return docs.withColumn("weight", F.lit(QUALITY[None]))
     label = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
     weight = F.when(F.col("quality") == 1, QUALITY[1]).when(F.col("quality") == 0, QUALITY[0]).otherwise(QUALITY[None])
-    return docs.join(label, docs["doc_id"] == label["labelled"], "left").withColumn("weight", weight).drop("labelled", "quality")
+    joined = docs.join(label, docs["doc_id"] == label["labelled"], "left")
+    return joined.withColumn("weight", weight).drop("labelled", "quality")

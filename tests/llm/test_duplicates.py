@@ -459,6 +459,31 @@ def test_near_duplicate_stage_drops_near_duplicates_only(spark):
         assert Counter(tuple(r) for r in found) == Counter(want)
 
 
+def test_mixing_stage_takes_what_the_mix_says(spark, tmp_path):
+    """Words of each source near its target, with null ids, repeated ids of other texts, equal rows, and empty tables."""
+    rows = [(None, f"{'w ' * 9}{i}", "en", "a", 0) for i in range(40)] + [(7, "x " * 12, "en", "b", i) for i in range(30)] + [(8, f"{'z ' * 5}{i}", "en", "b", 0) for i in range(20)]
+    rows += [(i, "y " * 9, "en", None, 0) for i in range(100, 160)] + [(200, None, "en", "c", 0), (201, "", None, "c", 0), (None, None, None, None, None)]
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, KIND).repartition(3)
+    found = corpus_pipeline.mixing_stage(spark, clashing(docs), str(tmp_path)).collect()
+    size = lambda text: len((text or "").split())
+    whole = Counter()
+    for r in rows:
+        whole[r[3]] += size(r[1])
+    targets = {r.source: r.target for r in corpus_pipeline.mixing.targets(spark.createDataFrame(list(whole.items()), "source string, source_size long")).collect()}
+    for source in whole:
+        got = sum(size(r.text) for r in found if r.source == source)
+        assert abs(got - targets[source]) <= max(size(r[1]) for r in rows if r[3] == source) / 2 + 1e-9, source
+    had, left = Counter(r[:4] for r in rows), Counter((r.doc_id, r.text, r.lang, r.source) for r in found)
+    assert all(left[k] <= 2 * had[k] for k in left) and set(left) <= set(had)
+
+
+def test_stages_of_empty_tables(spark, none, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
 def test_pipeline(spark, tmp_path):
     """run() on a small corpus, and each stage's decisions against brute force on its own input."""
     rng = random.Random(11)

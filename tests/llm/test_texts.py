@@ -184,6 +184,18 @@ def test_mix(spark, odd, none):
     assert mixing.mix(none, labels).count() == 0 and mixing.mix(odd, None).count() == len(rows)
 
 
+def test_mix_of_equal_rows_and_rows_without_ids(spark):
+    """Rows without an id, and equal rows, are taken one by one: the words taken are as near to the target as rows allow."""
+    rows = [(None, f"{'w ' * 10}{i}", "en", "a", 0) for i in range(40)] + [(7, "x " * 12, "en", "b", 0)] * 30 + [(i, "y " * 9, "en", "c", 0) for i in range(100, 160)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), None).collect()
+    assert len(found) == len(rows)
+    for source, size in (("a", 11), ("b", 12), ("c", 9)):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= size / 2 and all(r.extra in (0, 1) for r in own)
+    planned = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert planned.where("source = 'b'").count() == 1 and planned.where("source = 'a'").select("key").distinct().count() == 40
+
+
 def test_mix_prefers_weight(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "en", "big" if i < 600 else "small", 0) for i in range(1200)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
@@ -266,6 +278,42 @@ def test_shards(spark, odd, none):
     assert sharding.shard(none).count() == 0
 
 
+def shards_by_brute_force(texts: list[str], bounds: list[int], keys: list[int]) -> list[int]:
+    return [sum(b <= k for b in bounds) for k in keys]
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    """Boundaries of a poor sample leave ranges with many times their share; what is subdivided holds it."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, words(rng, rng.randint(1, 40))) for i in range(3000)], "doc_id long, text string")
+    rows = df.select(F.xxhash64("text").alias("key"), (F.octet_length("text") + 16).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")).persist()
+    held = [(r["key"], r["size"]) for r in rows.collect()]
+    keys, total = [k for k, _ in held], sum(n for _, n in held)
+    bounds = np.sort(np.array(rng.sample(keys, 4), np.int64))
+    most = total // 40
+
+    def sampled(of, chance, seed):
+        return np.sort(np.array([r.key for r in of.select("key").collect()], np.int64))
+
+    def filled(at):
+        out = Counter()
+        for (_, n), r in zip(held, shards_by_brute_force([], at.tolist(), keys), strict=True):
+            out[r] += n
+        return out
+
+    full = {r: n for r, n in filled(bounds).items() if n > 2 * most}
+    assert full
+    again = sharding._subdivided(rows, bounds, full, most, 32, sampled, 1)
+    assert set(bounds.tolist()) <= set(again.tolist()) and max(filled(again).values()) <= 2 * most
+    placed = rows.select("key", sharding._place(again)("key").alias("range")).collect()
+    assert [r["range"] for r in placed] == shards_by_brute_force([], again.tolist(), [r["key"] for r in placed])
+    found = sharding.shard(df, shards=4, ranges_per_shard=16, samples_per_range=1).collect()
+    size = Counter()
+    for r in found:
+        size[r.shard] += r["size"]
+    assert max(size.values()) < 1.05 * min(size.values())
+
+
 def test_shards_are_even_and_keep_groups(spark):
     rng = random.Random(3)
     texts = [words(rng, rng.randint(1, 60)) for _ in range(1500)]
