@@ -47,11 +47,17 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole epochs, then by key until its source's target is met."""
-    taken = mixing.mix(docs, table(spark, sf_dir, "labels")).withColumn("copies", F.col("epochs") + F.col("extra").cast("long"))
-    copies = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    joined = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")))
-    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: whole epochs, then by key until its source's target is met. Rows of one
+    doc_id with different texts, and rows without one, are documents by themselves. Rows of equal doc_id, source and text
+    are taken together as often as all of them are, in the form of the least of them."""
+    planned = mixing.plan(docs, table(spark, sf_dir, "labels"))
+    copies = (F.col("epochs") * F.col("rows") + F.col("extra")).cast("int").alias("copies")
+    taken = planned.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("text_key").alias("text_of"), "rows", copies).where("copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("text_of"))
+    joined = docs.select(*COLUMNS).join(taken, same)
+    equal = joined.where("rows > 1").groupBy("id", "of", "text_of", "copies").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*", "copies")
+    each = joined.where("rows = 1").select(*COLUMNS, "copies").unionByName(equal)
+    return each.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
