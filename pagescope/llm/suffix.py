@@ -18,8 +18,9 @@ from .gsaca import suffix_array
 WINDOW, GRAM = 200, 24
 #: Anchors that occur more often than this are not compared in one task.
 HOT = 4096
-#: A chunk of a stretch ends where the hash of CUT bytes has CUT_BITS zero bits: one symbol of the suffix array.
-CUT, CUT_BITS = 4, 3
+#: A chunk of a stretch, one symbol of the suffix array, ends where the hash of CUT bytes is the least of its neighbours up
+#: to RADIUS places away, on both sides; so texts of short periods have such places, too.
+CUT, RADIUS = 4, 16
 #: Positions that are looked at together, in one text.
 SEGMENT = 1 << 22
 
@@ -158,13 +159,25 @@ def _intervals(common: np.ndarray, rank: np.ndarray, least: np.ndarray) -> tuple
     return start, after | (start < rank)
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _least_near(hashes: np.ndarray, radius: int) -> np.ndarray:
+    """Places whose hash is not above any other up to `radius` places away; the outermost places are none."""
+    if len(hashes) <= 2 * radius:
+        return np.zeros(0, np.int64)
+    least, wide = hashes, 1
+    while wide * 2 <= 2 * radius + 1:
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    rest = 2 * radius + 1 - wide
+    least = np.minimum(least[: len(least) - rest], least[rest:])
+    return np.flatnonzero(hashes[radius : len(hashes) - radius] == least) + radius
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(cuts, bounds, symbols, chunks left): places where the content says that a chunk of its stretch ends and the next one
     starts; stretch i has the cuts bounds[i]:bounds[i + 1]. A chunk is a symbol, 0 the end of a stretch."""
-    small = rolling.all(CUT)
-    cuts = np.flatnonzero((small & np.uint64((1 << CUT_BITS) - 1)) == 0)
+    cuts = _least_near(rolling.all(CUT), radius)
     stretch = np.searchsorted(offsets, cuts, side="right") - 1
-    inside = cuts + CUT <= offsets[stretch + 1]
+    inside = (cuts - radius >= offsets[stretch]) & (cuts + CUT + radius <= offsets[stretch + 1])
     cuts, stretch = cuts[inside], stretch[inside]
     bounds = np.searchsorted(stretch, np.arange(len(offsets)))
     symbol = np.zeros(len(cuts), np.int64)
@@ -203,10 +216,11 @@ def _by_chunks(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, window:
     same bytes before the first and after the last cut are the same, which their bytes confirm. Windows without a whole
     chunk go to the suffix array of their bytes."""
     rolling = Rolling(data)
-    cuts, bounds, symbol, left = _cuts(data, offsets, rolling)
+    radius = min(RADIUS, window // 12)
+    cuts, bounds, symbol, left = _cuts(data, offsets, rolling, radius)
     of, p = _ragged(offsets[:-1], np.maximum(0, np.diff(offsets) - window + 1))
-    low = np.searchsorted(cuts, p)
-    high = np.minimum(np.searchsorted(cuts, p + window - CUT, side="right"), bounds[1:][of]) - 1  # later ones depend on bytes outside
+    low = np.searchsorted(cuts, p + radius)  # others depend on bytes outside
+    high = np.minimum(np.searchsorted(cuts, p + window - CUT - radius, side="right"), bounds[1:][of]) - 1
     chunks = high - low
     bare = chunks <= 0
     found = [_by_bytes(data, of[bare], p[bare], group, window)] if bare.any() else []
