@@ -71,8 +71,13 @@ def row_count_per_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_BASE}, row_group_id::BIGINT AS g, column_id::BIGINT AS i, {_PATH} AS p, type AS kind, compression AS codec, num_values::BIGINT AS n, data_page_offset::BIGINT AS data_at, dictionary_page_offset::BIGINT AS dictionary_at, total_compressed_size::BIGINT AS c, total_uncompressed_size::BIGINT AS u FROM parquet_metadata({_ALL})")
 def column_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = lambda c: F.col(c).cast("long")
-    return _lens(spark, sf_dir).chunks.select(_file(), long("row_group").alias("g"), long("column_id").alias("i"), F.col("column_path").alias("p"), F.col("type").alias("kind"), "codec", F.col("num_values").alias("n"), F.col("data_page_offset").alias("data_at"), F.col("dictionary_page_offset").alias("dictionary_at"), F.col("total_compressed_size").alias("c"), F.col("total_uncompressed_size").alias("u"))
+    return chunk_rows(_lens(spark, sf_dir).chunks)
+
+
+def chunk_rows(chunks: DataFrame) -> DataFrame:
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    sizes = (("num_values", "n"), ("data_page_offset", "data_at"), ("dictionary_page_offset", "dictionary_at"), ("total_compressed_size", "c"), ("total_uncompressed_size", "u"))
+    return chunks.select(_file(), long("row_group", "g"), long("column_id", "i"), F.col("column_path").alias("p"), F.col("type").alias("kind"), "codec", *[long(*x) for x in sizes])
 
 
 @query(f"SELECT parse_filename(file_name) AS f, row_group_id::BIGINT AS g, max(row_group_num_rows)::BIGINT AS n, max(row_group_bytes)::BIGINT AS b, count(*)::BIGINT AS columns FROM parquet_metadata({_ALL}) GROUP BY 1, 2")
@@ -228,10 +233,7 @@ def shred_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, embedding, label FROM embeddings")
 def assemble_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lens = _lens(spark, sf_dir, "embeddings")
-    nodes = [r.asDict(recursive=True) for r in R.schema_elements(lens.footers).orderBy("element_id").collect()]
-    streams = {p: lens.values(p) for p in ("vec_id", "embedding.list.element", "label")}
-    return nesting.assemble(nodes, streams).select("vec_id", "embedding", "label")
+    return _lens(spark, sf_dir, "embeddings").records().select("vec_id", "embedding", "label")
 
 
 @query("SELECT count(*)::BIGINT AS n, min(l_orderkey)::BIGINT AS lo, max(l_orderkey)::BIGINT AS hi FROM lineitem WHERE l_orderkey BETWEEN 100 AND 2000")
@@ -244,15 +246,25 @@ def rowgroup_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-def _copy(spark: SparkSession, table: DataFrame, **options: str) -> str:
-    """A copy of a table with what the given files lack, in the folder that all executors share."""
+def shared_path(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. A temporary one only where none is set and all tasks
+    run on this machine, as in tests."""
     import tempfile
-    import uuid
 
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/copy-{uuid.uuid4().hex}"
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _copy(spark: SparkSession, table: DataFrame, **options: str) -> str:
+    """A copy of a table with what the given files lack, in the folder that all executors share."""
+    import uuid
+
+    path = f"{shared_path(spark)}/copy-{uuid.uuid4().hex}"
     table.write.options(**options).parquet(path)
     return path
 
