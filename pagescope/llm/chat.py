@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -48,8 +48,9 @@ def fingerprint(found: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Layout:
-    """A layout of records. key: SQL of the conversation's id, or None where a row is a conversation without one;
-    turns: SQL of an array of (turn, role, text), or None where rows are turns of columns turn, role and text."""
+    """A layout of records. key: the field of the conversation's id, or None where a row is a conversation without one;
+    turns: SQL of an array of (turn, role, text), its fields after `{at}`, or None where rows are turns of columns turn,
+    role and text."""
 
     name: str
     fields: tuple[str, ...]
@@ -58,11 +59,12 @@ class Layout:
 
 
 def _list(items: str, role: str, text: str) -> str:
-    return f"transform({items}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', m.{role}, 'text', m.{text}))"
+    return f"transform({{at}}{items}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', m.{role}, 'text', m.{text}))"
 
 
 def _pair(first: str, then: str, system: str | None = None) -> str:
-    turns = [f"named_struct('role', '{r}', 'text', {t})" for r, t in ([("system", system)] if system else []) + [("user", first), ("assistant", then)]]
+    texts = ([("system", f"{{at}}{system}")] if system else []) + [("user", first), ("assistant", f"{{at}}{then}")]
+    turns = [f"named_struct('role', '{r}', 'text', {t})" for r, t in texts]
     return f"transform(filter(array({', '.join(turns)}), t -> t.role <> 'system' or t.text <> ''), (m, i) -> named_struct('turn', cast(i as bigint), 'role', m.role, 'text', m.text))"
 
 
@@ -71,67 +73,84 @@ LAYOUTS = (
     Layout("messages", ("messages[].role:string", "messages[].content:string"), None, _list("messages", "role", "content")),
     Layout("id_messages", ("id:integer", "messages[].role:string", "messages[].content:string"), "id", _list("messages", "role", "content")),
     Layout("from_value", ("conversations[].from:string", "conversations[].value:string"), None, _list("conversations", "from", "value")),
-    Layout("instruction", ("instruction:string", "input:string", "output:string"), None, _pair(r"if(coalesce(input, '') = '', instruction, concat(instruction, '\n\n', input))", "output")),
-    Layout("instruction_only", ("instruction:string", "output:string"), None, _pair("instruction", "output")),
-    Layout("prompt_completion", ("prompt:string", "completion:string"), None, _pair("prompt", "completion")),
-    Layout("prompt_response", ("system:string", "prompt:string", "response:string"), None, _pair("prompt", "response", "system")),
-    Layout("question_answer", ("question:string", "answer:string"), None, _pair("question", "answer")),
+    Layout("instruction", ("instruction:string", "input:string", "output:string"), None, _pair(r"if(coalesce({at}input, '') = '', {at}instruction, concat({at}instruction, '\n\n', {at}input))", "output")),
+    Layout("instruction_only", ("instruction:string", "output:string"), None, _pair("{at}instruction", "output")),
+    Layout("prompt_completion", ("prompt:string", "completion:string"), None, _pair("{at}prompt", "completion")),
+    Layout("prompt_response", ("system:string", "prompt:string", "response:string"), None, _pair("{at}prompt", "response", "system")),
+    Layout("question_answer", ("question:string", "answer:string"), None, _pair("{at}question", "answer")),
 )
 #: Names that layouts use for the same role. Fixed values.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout whose fingerprint is that of the schema, else that of the schema without the fields that the
-    layout doesn't know; of several such the one with the most fields, and more than one of those is an error."""
-    found = paths(schema)
+def fitting(found: list[str], layouts: tuple[Layout, ...] = LAYOUTS) -> list[Layout]:
+    """The layout whose fingerprint is that of the field paths; else those whose fingerprint is that of the paths without
+    the fields that the layout doesn't know, of these the ones with the most fields. A list without elements, whose path
+    ends with `[]`, stands for the fields of its elements."""
     by_print = {fingerprint(list(x.fields)): x for x in layouts}
     if exact := by_print.get(fingerprint(found)):
-        return exact
-    fitting = [x for p, x in by_print.items() if fingerprint([f for f in found if f in x.fields]) == p]
-    best = [x for x in fitting if len(x.fields) == max(len(y.fields) for y in fitting)]
+        return [exact]
+    empty = tuple(p for p in found if p.endswith("[]"))
+    own = [(x, [f for f in x.fields if f in found or empty and f.startswith(empty)]) for x in layouts]
+    fits = [x for x, fields in own if by_print.get(fingerprint(fields)) is x]
+    return [x for x in fits if len(x.fields) == max(len(y.fields) for y in fits)]
+
+
+def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
+    """The one layout that fits the schema; none and more than one are errors."""
+    found = paths(schema)
+    best = fitting(found, layouts)
     if len(best) != 1:
         raise ValueError(f"{'several layouts fit' if best else 'no layout fits'} the fields {sorted(found)}")
     return best[0]
 
 
-def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """conv_id, turn, role, text of any known layout. Records without an id get a hash of layout, turns and place
-    among equal records, so that each is a conversation by itself. Null texts and roles become empty; role names of
-    other layouts become system, user and assistant."""
-    layout = layout_of(df.schema, layouts)
-    if layout.turns is None:
-        rows = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    else:
-        turns = df.select(F.expr(layout.turns).alias("turns"), *([F.expr(layout.key).cast("long").alias("conv_id")] if layout.key else []))
-        if not layout.key:
-            same = turns.withColumn("same", F.xxhash64(F.lit(layout.name), "turns"))
-            turns = same.withColumn("nth", F.row_number().over(W.partitionBy("same").orderBy("same"))).withColumn("conv_id", F.when(F.col("nth") == 1, F.col("same")).otherwise(F.xxhash64("same", "nth")))
-        rows = turns.select("conv_id", F.inline("turns"))
+def _numbered(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of rows (layout, id, turns). Records without an id get a hash of layout, turns and place
+    among equal records, so that each is a conversation by itself."""
+    alone = turns.where("id is null").withColumn("same", F.xxhash64("layout", "turns"))
+    nth = F.row_number().over(W.partitionBy("same").orderBy("same"))
+    named = alone.withColumn("nth", nth).withColumn("id", F.when(F.col("nth") == 1, F.col("same")).otherwise(F.xxhash64("same", "nth")))
+    whole = turns.where("id is not null").select("id", "turns").unionByName(named.select("id", "turns"))
+    return whole.select(F.col("id").alias("conv_id"), F.inline("turns"))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     role = F.coalesce(F.col("role"), F.lit(""))
     return rows.select("conv_id", "turn", F.coalesce(names[role], role).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def canonical_json(df: DataFrame, column: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """`canonical` for JSON records of mixed layouts: each record has its own fingerprint, which selects the schema
-    to parse it with; records of no known layout come back in no row (see `unknown_json`)."""
-    parts = [canonical(_parsed(df, column, x), (x,)) for x in layouts if x.turns]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """conv_id, turn, role, text of any known layout. Records without an id are conversations by themselves, also equal
+    ones. Null texts and roles become empty; role names of other layouts become system, user and assistant."""
+    layout = layout_of(df.schema, layouts)
+    if layout.turns is None:
+        return _plain(df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"))
+    key = F.col(layout.key) if layout.key else F.lit(None)
+    return _plain(_numbered(df.select(F.lit(layout.name).alias("layout"), key.cast("long").alias("id"), F.expr(layout.turns.format(at="")).alias("turns"))))
 
 
-def unknown_json(df: DataFrame, column: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    known = [fingerprint(list(x.fields)) for x in layouts if x.turns]
-    return df.where(~F.coalesce(json_fingerprint(F.col(column)), F.lit("")).isin(known))
+def canonical_json(df: DataFrame, column: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """`canonical` for JSON records of mixed layouts, by one scan: each record's field paths select its layout, by the rule
+    that layout_of has, and that the schema to parse it with. Records that no layout fits, or several, come back in no row
+    (see `unknown_json`)."""
+    known = [x for x in layouts if x.turns]
+    rows = df.select(json_layout(known)(F.col(column)).alias("layout"), F.col(column).alias("text"))
+    parsed = [F.when(F.col("layout") == x.name, F.from_json("text", _schema(x.fields))).alias(f"r{i}") for i, x in enumerate(known)]
+    turns, key = None, None
+    for i, x in enumerate(known):
+        of, own = F.col("layout") == x.name, F.expr(x.turns.format(at=f"r{i}."))
+        turns = F.when(of, own) if turns is None else turns.when(of, own)
+        if x.key:
+            one = F.when(of, F.col(f"r{i}.{x.key}"))
+            key = one if key is None else F.coalesce(key, one)
+    id_ = (F.lit(None) if key is None else key).cast("long").alias("id")
+    return _plain(_numbered(rows.where("layout is not null").select("layout", *parsed).select("layout", id_, turns.alias("turns"))))
 
 
-def _parsed(df: DataFrame, column: str, layout: Layout) -> DataFrame:
-    kind = _schema(layout.fields)
-    mine = df.where(json_fingerprint(F.col(column)) == fingerprint(list(layout.fields)))
-    return mine.select(F.from_json(F.col(column), kind).alias("record")).select("record.*")
+def unknown_json(df: DataFrame, column: str = "json", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    return df.where(json_layout([x for x in layouts if x.turns])(F.col(column)).isNull())
 
 
 def _schema(fields: tuple[str, ...]) -> T.StructType:
@@ -150,28 +169,41 @@ def _schema(fields: tuple[str, ...]) -> T.StructType:
     return build(tree)
 
 
-@F.pandas_udf(T.StringType())
-def json_fingerprint(texts: pd.Series) -> pd.Series:
-    """Fingerprint of each JSON record's field paths; null for what is no JSON object."""
-
-    def walk(x: object, at: str) -> Iterator[str]:
-        if isinstance(x, dict):
-            for k, v in x.items():
-                yield from walk(v, f"{at}.{k}" if at else k)
-        elif isinstance(x, list):
-            for v in x:
-                yield from walk(v, f"{at}[]")
-        else:
-            yield f"{at}:{'boolean' if isinstance(x, bool) else 'integer' if isinstance(x, int) else 'double' if isinstance(x, float) else 'string'}"
-
-    def one(text: str | None) -> str | None:
-        try:
-            record = json.loads(text)
-        except (TypeError, ValueError):
-            return None
-        return fingerprint(list(set(walk(record, "")))) if isinstance(record, dict) else None
-
-    return texts.map(one)
+def json_paths(record: object, at: str = "") -> Iterator[str]:
+    """Nested field paths of a JSON value, as `paths`; those of empty lists end with `[]`, null counts as text."""
+    if isinstance(record, dict):
+        for k, v in record.items():
+            yield from json_paths(v, f"{at}.{k}" if at else k)
+    elif isinstance(record, list):
+        for v in record:
+            yield from json_paths(v, f"{at}[]")
+        if not record:
+            yield f"{at}[]"
+    else:
+        yield f"{at}:{'boolean' if isinstance(record, bool) else 'integer' if isinstance(record, int) else 'double' if isinstance(record, float) else 'string'}"
+
+
+def json_layout(layouts: list[Layout]) -> Callable[[Column], Column]:
+    """Name of the one layout that fits each JSON record; null for others and for what is no JSON object."""
+
+    @F.pandas_udf(T.StringType())
+    def layout(texts: pd.Series) -> pd.Series:
+        known: dict[tuple[str, ...], str | None] = {}
+
+        def one(text: str | None) -> str | None:
+            try:
+                record = json.loads(text)
+            except (TypeError, ValueError):
+                return None
+            found = tuple(sorted(set(json_paths(record)))) if isinstance(record, dict) else ()
+            if found not in known:
+                fits = fitting(list(found), tuple(layouts))
+                known[found] = fits[0].name if len(fits) == 1 else None
+            return known[found]
+
+        return texts.map(one)
+
+    return layout
 
 
 def formatted(turns: DataFrame) -> DataFrame:

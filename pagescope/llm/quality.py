@@ -25,12 +25,21 @@ PAIRS = 4
 SAMPLE_ROWS, DICTIONARY_ROWS, SAMPLE_CHARS = 2500, 400, 1 << 16
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, label: str, value: int, rows: int, chars: int = SAMPLE_CHARS) -> list[str]:
-    """At most `rows` texts of at most `chars` characters that may be learnt from and have the label; the same ones
-    in each run. Only this bounded sample reaches the driver."""
-    few = label_rows(labels, label).where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("sampled"))
-    got = docs.where(F.char_length("text") <= chars).join(F.broadcast(few), F.col("doc_id") == F.col("sampled")).select("sampled", "text").limit(2 * rows)
-    return [t for _, t in sorted({(r[0], r[1]) for r in got.collect()})]
+def chosen(labels: DataFrame, label: str, value: int, rows: int) -> DataFrame:
+    """(sampled, part): at most `rows` ids that may be learnt from and have the label; the same ones in each run."""
+    few = label_rows(labels, label).where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return few.select(F.col("doc_id").alias("sampled"), F.lit(value).alias("part"))
+
+
+def sample_texts(docs: DataFrame, few: DataFrame, parts: int, chars: int = SAMPLE_CHARS) -> list[list[str]]:
+    """Texts of at most `chars` characters of the ids of `few`, by part; of several texts of one id the least one. Only this
+    bounded sample reaches the driver, by one scan of the documents."""
+    found = docs.where(F.char_length("text") <= chars).join(F.broadcast(few), F.col("doc_id") == F.col("sampled"))
+    got = found.groupBy("part", "sampled").agg(F.min("text").alias("text")).collect()
+    out: list[list[str]] = [[] for _ in range(parts)]
+    for r in sorted(got, key=lambda r: (r["part"], r["sampled"])):
+        out[r["part"]].append(r["text"])
+    return out
 
 
 def blocks(text: bytes) -> list[bytes]:
@@ -87,10 +96,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most `rows` labelled rows of each class. The classes are weighted back to their shares among
+    """Learns from at most `rows` labelled rows of each class, of texts of up to SAMPLE_CHARS characters. The classes are weighted back to their shares among
     all labels, so scores are chances. Without texts of both classes, each score is the share of good labels."""
     share = label_rows(labels, label).agg(F.avg("label")).first()[0]
-    texts = [sample_texts(docs, labels, label, value, rows) for value in (0, 1)]
+    texts = sample_texts(docs, chosen(labels, label, 0, rows).unionByName(chosen(labels, label, 1, rows)), 2)
     if not all(texts):
         p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
         return Model((), 0.0, float(np.log(p / (1 - p))))

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LOWER, Rolling, held_out, label_rows, text_steps, tidy
-from .quality import SAMPLE_CHARS, sample_texts
+from .quality import chosen, sample_texts
 
-#: Confirmed toxic and unlabelled texts that the fit takes at most, each of up to SAMPLE_CHARS characters.
+#: Confirmed toxic and unlabelled texts that the fit takes at most.
 POSITIVE_ROWS, UNLABELLED_ROWS = 2500, 6000
 #: A word's features: itself and its first bytes, so that inflected forms meet; hashed into BITS bits.
 PREFIXES, BITS = (4, 5, 6), 20
@@ -21,8 +21,8 @@ EPOCHS, RATE, RIDGE = 200, 0.05, 1e-4
 #: Features in use: those whose shares of toxic and of unlabelled texts differ by Z_SCORE standard errors, the
 #: FEATURES with the largest differences at most.
 Z_SCORE, FEATURES = 3.0, 4096
-#: Prior of the toxic class where labels can't tell.
-PRIOR = 0.1
+#: Prior of the toxic class where labels can't tell, and the least and the largest one.
+PRIOR, PRIORS = 0.1, (0.005, 0.5)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -127,15 +127,15 @@ def train(positive: list[str], unlabelled: list[str], prior: float, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
-    """Learns from at most `rows` texts labelled toxic and `unlabelled` texts of any rows that are not held out; of
-    the other labels only their share counts, as the prior. Without a toxic text, each score is the prior."""
+    """Learns from at most `rows` texts labelled toxic and `unlabelled` texts of any rows that are not held out, each of up
+    to SAMPLE_CHARS characters; of the other labels only their share counts, as the prior, which is taken to lie within
+    PRIORS. Without a toxic text, each score is the prior."""
     share = label_rows(labels, label).agg(F.avg("label")).first()[0]
-    prior = min(max(PRIOR if not share else share, 0.005), 0.5)
-    positive = sample_texts(docs, labels, label, 1, rows)
+    prior = min(max(PRIOR if not share else share, PRIORS[0]), PRIORS[1])
     open_rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    few = open_rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(unlabelled).select(F.col("doc_id").alias("sampled"))
-    got = docs.where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(few), F.col("doc_id") == F.col("sampled")).select("sampled", "text").limit(2 * unlabelled)
-    others = [t for _, t in sorted({(r[0], r[1]) for r in got.collect()})]
+    any_rows = open_rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(unlabelled)
+    few = chosen(labels, label, 1, rows).unionByName(any_rows.select(F.col("doc_id").alias("sampled"), F.lit(0).alias("part")))
+    others, positive = sample_texts(docs, few, 2)
     if not positive or not others:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
     return train(positive, others, prior)

@@ -239,6 +239,23 @@ def test_signatures_estimate_similarity_with_less_variance():
     assert (together[0] == minhash.signatures(alone[:3], np.array([0, 3]))[0]).all() and (together[2] == minhash.signatures(alone, np.array([0, 500]))[0]).all()
 
 
+def test_signatures_equal_the_scalar_algorithm():
+    """SuperMinHash element by element, with a permutation of its own for each (Fisher-Yates as it is read)."""
+    rng = np.random.default_rng(6)
+    m, sets = 16, [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 3, 12, 200)]
+    for own in sets:
+        least = [(m + 1) << 24] * m
+        for e in own:
+            p = list(range(m))
+            for j in range(m):
+                x = int(minhash.mix64(np.array([e], np.uint64) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[0])
+                k = j + ((x & 0xFFFFFFFF) * (m - j) >> 32)
+                p[j], p[k] = p[k], p[j]
+                least[p[j]] = min(least[p[j]], (j << 24) + (x >> 40))
+        want = (minhash.mix64(np.array(least, np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        assert (minhash.signatures(own, np.array([0, len(own)]), m)[0] == want).all()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7), (None, 3)]

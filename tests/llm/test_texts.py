@@ -75,6 +75,18 @@ def test_chat_json_of_mixed_layouts(spark):
     assert chat.unknown_json(df).count() == 3
 
 
+def test_json_records_and_schemas_follow_one_rule(spark):
+    """A field more than the layout has, an empty list, and null texts are no reason to leave a record out."""
+    records = [{"prompt": "a", "completion": "b", "score": 1.5}, {"messages": []}, {"id": 9, "messages": [], "lang": "en"}, {"question": None, "answer": "c"}, {"system": "", "prompt": "d", "response": "e"}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "json string")
+    assert chat.unknown_json(df).count() == 0
+    assert sorted(r.text for r in chat.canonical_json(df).collect()) == ["", "a", "b", "c", "d", "e"]
+    both = spark.createDataFrame([(json.dumps({"prompt": "a", "completion": "b", "question": "c", "answer": "d"}),)], "json string")
+    assert chat.unknown_json(both).count() == 1 and chat.canonical_json(both).count() == 0
+    plan = chat.canonical_json(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 2  # with and without an id
+
+
 def test_equal_records_are_conversations_by_themselves(spark):
     df = spark.createDataFrame([("p", "c")] * 100 + [("p", "d")], "prompt string, completion string").repartition(3)
     records = [json.dumps({a: "p", b: "c"}) for a, b in (("prompt", "completion"), ("question", "answer"))] * 50
@@ -127,6 +139,58 @@ def test_quality(spark, odd, none):
     assert {r.score for r in quality.score(odd, unknown).collect()} == {0.5}
 
 
+def test_quality_scores_by_brute_force(spark, odd):
+    """The scores of whole texts, block by block, with plain calls of the library; and a sample that repeats."""
+    import zstandard
+
+    docs, labels, _ = labelled(spark, lambda rng, bad: ((words(rng, 80).upper() if bad else words(rng, 80)), 0 if bad else 1))
+    twice = docs.unionByName(docs.where("doc_id < 50").withColumn("text", F.concat(F.lit("zz "), "text"))).repartition(5)
+    model = quality.fit(twice, labels)
+    assert model == quality.fit(docs.repartition(2), labels)
+
+    def size(data: bytes, text: bytes) -> int:
+        trained = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT)
+        one = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(one.compress(text[i : i + quality.BLOCK_BYTES])) for i in range(0, len(text), quality.BLOCK_BYTES))
+
+    for r in quality.score(odd, model, keep=("text",)).collect():
+        text = (r.text or "").encode()
+        difference = sum(size(bad, text) - size(good, text) for good, bad in model.pairs) / max(1, len(text)) / len(model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, model.slope * difference + model.bias)))), abs=1e-9)
+
+
+def test_toxicity_scores_and_risk_by_brute_force(spark, odd):
+    """Scores from the words of whole texts, one by one; and the risk that training lowers."""
+    from pagescope.llm.common import Rolling
+
+    rng = random.Random(4)
+    unlabelled = [words(rng, 40) + (" vile" if i % 5 == 0 else "") for i in range(200)]
+    positive = [words(rng, 40) + " vile" for _ in range(60)]
+    model = toxicity.train(positive, unlabelled, 0.2)
+
+    def hashed(word: bytes) -> int:
+        return int(Rolling(np.frombuffer(word, np.uint8)).of(np.array([0]), np.array([len(word)]))[0])
+
+    def plain(text: str | None) -> float:
+        found = {w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())}
+        found = {bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in found}
+        ids = [hashed(w) >> (64 - toxicity.BITS) for w in found]
+        ids += [((hashed(w[:p]) + p) & (1 << 64) - 1) >> (64 - toxicity.BITS) for w in found for p in toxicity.PREFIXES]
+        z = sum(float(model.weights[i]) for i in ids) + model.bias
+        return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+    docs = odd.withColumn("text", F.when(F.col("doc_id") < 20, F.concat("text", F.lit(" VILE deeds"))).otherwise(F.col("text")))
+    texts = Counter((r.doc_id, round(plain(r.text), 6)) for r in docs.collect())
+    assert Counter((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model).collect()) == texts
+
+    def risk(m) -> float:
+        z = lambda part: np.array([math.log(s / (1 - s)) for s in (m.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in part)])
+        zp, zu = z(positive), z(unlabelled)
+        return 0.2 * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - 0.2 * np.logaddexp(0, zp).mean())
+
+    assert risk(model) < 0.5 * risk(toxicity.Model(np.zeros_like(model.weights), math.log(0.25)))
+
+
 def test_toxicity(spark, odd, none):
     bad_words = ["vile", "rotten", "nasty"]
 
