@@ -134,6 +134,22 @@ def test_command_line_shows_every_row(spark, capsys, tmp_path):
     assert told.out == "" and "nothing found" in told.err
 
 
+def test_command_line_refuses_unknown_columns(spark, path, capsys):
+    for verb in ("row-groups", "pages"):
+        assert main([verb, path, "--column", "nope"], spark) == 1
+        told = capsys.readouterr()
+        assert told.out == "" and "no column nope" in told.err
+
+
+def test_work_is_spread_whatever_adaptive_execution_does(spark, tmp_path):
+    for i in range(12):
+        pq.write_table(pa.table({"x": range(4000), "y": range(4000)}), tmp_path / f"{i}.parquet", use_dictionary=False, data_page_size=1024, write_batch_size=64)
+    cores = spark.sparkContext.defaultParallelism
+    lens = Lens(spark, str(tmp_path))
+    used = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert used(lens.listed) >= cores and used(lens.footers) >= cores and used(lens.pages()) >= cores and used(R.data_pages(lens.pages())) >= cores
+
+
 def test_sizes(spark):
     rows = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 40,), (None,)], "n long").select(human_bytes(F.col("n"))).collect()
     assert [r[0] for r in rows] == ["0 B", "1023 B", "1.5 KB", "5.0 TB", None]
