@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 
@@ -26,22 +27,38 @@ def _gzip(data: bytes) -> bytes:
     return out.getvalue()
 
 
-def _lz4_framed(data: bytes, size: int) -> bytes:
-    """The older LZ4 codec: blocks that two big-endian lengths precede, or else one bare block."""
+def _lz4_block(data: bytes, size: int) -> bytes:
+    return pa.Codec("lz4_raw").decompress(data, size, asbytes=True)
+
+
+def _lzo_block(data: bytes, size: int) -> bytes:
+    """One block, by the optional library `lzo`."""
+    try:
+        import lzo
+    except ImportError:
+        raise UnsupportedCodec("LZO") from None
+    try:
+        return lzo.decompress(bytes(data), False, size)
+    except lzo.error as error:
+        raise OSError(str(error)) from error
+
+
+def _framed(data: bytes, size: int, block: Callable[[bytes, int], bytes]) -> bytes:
+    """Codecs of older writers: blocks that two big-endian lengths precede, or else one bare block."""
     at, parts = 0, []
     try:
         while at < len(data):
             whole, packed = (int.from_bytes(data[at + i : at + i + 4], "big") for i in (0, 4))
             if at + 8 + packed > len(data) or not whole:
                 raise ValueError
-            parts.append(pa.Codec("lz4_raw").decompress(data[at + 8 : at + 8 + packed], whole, asbytes=True))
+            parts.append(block(data[at + 8 : at + 8 + packed], whole))
             at += 8 + packed
         found = b"".join(parts)
         if len(found) == size:
             return found
     except (ValueError, OSError):
         pass
-    return pa.Codec("lz4_raw").decompress(data, size, asbytes=True)
+    return block(data, size)
 
 
 def decompress(data: bytes, codec: str, size: int) -> bytes:
@@ -54,7 +71,9 @@ def decompress(data: bytes, codec: str, size: int) -> bytes:
         elif codec == "GZIP":
             found = _gzip(bytes(data))
         elif codec == "LZ4":
-            found = _lz4_framed(bytes(data), size)
+            found = _framed(bytes(data), size, _lz4_block)
+        elif codec == "LZO":
+            found = _framed(bytes(data), size, _lzo_block)
         elif codec in _ARROW and pa.Codec.is_available(_ARROW[codec]):
             found = pa.Codec(_ARROW[codec]).decompress(data, size, asbytes=True) if size else b""
         else:

@@ -255,6 +255,87 @@ def metadata_only(dumps: DataFrame) -> DataFrame:
     return R._map(dumps, each, DUMP, 8)
 
 
+_STATISTICS = "struct<min:string,max:string,null_count:bigint,distinct_count:bigint,min_value:string,max_value:string,is_min_value_exact:boolean,is_max_value_exact:boolean,schema_path:string>"
+_COMPRESSION = "struct<total_compressed:bigint,total_uncompressed:bigint,ratio:double,space_saved_percent:double,compressed_mb:double,uncompressed_mb:double>"
+_PLACE = "start_offset:bigint,byte_length:bigint"
+_PAGE_TYPE = "page_type:string not null,start_offset:bigint not null,header_size:int,compressed_page_size:bigint,uncompressed_page_size:bigint,crc:bigint"
+_INDEXES = "offset_index_offset:bigint,offset_index_length:bigint,column_index_offset:bigint,column_index_length:bigint"
+_CHUNK_METADATA = (
+    f"struct<{_PLACE},type:string not null,encodings:array<string>,path_in_schema:string not null,codec:string not null,num_values:bigint not null,total_uncompressed_size:bigint,total_compressed_size:bigint,data_page_offset:bigint,index_page_offset:bigint,dictionary_page_offset:bigint,"
+    f"statistics:{_STATISTICS},encoding_stats:array<struct<page_type:string,encoding:string,count:bigint>>,bloom_filter_offset:bigint,bloom_filter_length:bigint,size_statistics:struct<unencoded_byte_array_data_bytes:bigint,repetition_level_histogram:array<bigint>,definition_level_histogram:array<bigint>>,"
+    "geospatial_statistics:struct<bbox:struct<xmin:double,xmax:double,ymin:double,ymax:double,zmin:double,zmax:double,mmin:double,mmax:double>,types:array<string>>>"
+)
+_GROUP = (
+    f"struct<{_PLACE},column_chunks:map<string,struct<path:array<string>,key_values:array<struct<key:string,value:string>>,file_offset:bigint,metadata:{_CHUNK_METADATA} not null,file_path:string,{_INDEXES}>> not null,total_byte_size:bigint,row_count:bigint not null,"
+    f"sorting_columns:array<struct<column_idx:int,descending:boolean,nulls_first:boolean>>,file_offset:bigint,total_compressed_size:bigint,ordinal:int,compression_stats:{_COMPRESSION}>"
+)
+_DATA_PAGE = f"struct<{_PAGE_TYPE},num_values:bigint,encoding:string,statistics:{_STATISTICS},schema_path:string,definition_level_encoding:string,repetition_level_encoding:string,num_nulls:bigint,num_rows:bigint,definition_levels_byte_length:int,repetition_levels_byte_length:int,is_compressed:boolean>"
+_PHYSICAL = (
+    f"struct<path_in_schema:string not null,path:array<string>,start_offset:bigint not null,total_byte_size:bigint,codec:string,num_values:bigint,data_pages:array<{_DATA_PAGE}> not null,index_pages:array<struct<{_PAGE_TYPE}>> not null,dictionary_page:struct<{_PAGE_TYPE},num_values:bigint,encoding:string,is_sorted:boolean>,"
+    f"column_index:struct<{_PLACE},null_pages:array<boolean>,min_values:array<string>,max_values:array<string>,boundary_order:string,null_counts:array<bigint>,repetition_level_histograms:array<bigint>,definition_level_histograms:array<bigint>,schema_path:string>,"
+    f"offset_index:struct<{_PLACE},page_locations:array<struct<offset:bigint,compressed_page_size:bigint,first_row_index:bigint>>,unencoded_byte_array_data_bytes:array<bigint>>,row_group:int not null>"
+)
+_DOCUMENT = (
+    f"source string not null, filesize bigint not null, column_chunks array<{_PHYSICAL}>, metadata struct<version:int,schema_root:string not null,row_groups:array<{_GROUP}> not null,created_by:string,key_value_metadata:array<struct<{_PLACE},key:string,value:string>>,start_offset:bigint not null,total_byte_size:bigint not null,"
+    f"compression_stats:{_COMPRESSION},column_count:bigint,row_count:bigint,row_group_count:bigint,num_rows:bigint,column_orders:array<string>> not null, magic_header string, magic_footer string, _meta struct<model:string not null,format_version:int not null,producer:string> not null"
+)
+_JSON = {T.StringType: str, T.BooleanType: bool, T.IntegerType: int, T.LongType: int, T.DoubleType: (int, float)}
+
+
 def dump_schema() -> T.StructType:
-    """Spark schema of the documents' fixed part; the tree of schema elements and the columns by name vary by file."""
-    return R.schema_of("source string, filesize bigint, _meta struct<model:string,format_version:int,producer:string>")
+    """Spark schema of the documents, for from_json. schema_root, a tree of any depth, is a string: its own JSON."""
+    return R.schema_of(_DOCUMENT)
+
+
+def _unlike(value: Any, kind: T.DataType, path: str) -> Iterator[tuple[str, str]]:
+    """(path, fault) of what a value has against its type."""
+    if path == "metadata.schema_root":
+        if not isinstance(value, dict):
+            yield path, "not an object"
+    elif isinstance(kind, T.StructType):
+        if not isinstance(value, dict):
+            yield path, "not an object"
+            return
+        for name in value.keys() - set(kind.names):
+            yield f"{path}.{name}".lstrip("."), "unknown"
+        for field in kind:
+            place = f"{path}.{field.name}".lstrip(".")
+            if value.get(field.name) is not None:
+                yield from _unlike(value[field.name], field.dataType, place)
+            elif not field.nullable:
+                yield place, "missing"
+    elif isinstance(kind, T.ArrayType):
+        if not isinstance(value, list):
+            yield path, "not an array"
+            return
+        for i, x in enumerate(value):
+            if x is not None:
+                yield from _unlike(x, kind.elementType, f"{path}[{i}]")
+    elif isinstance(kind, T.MapType):
+        if not isinstance(value, dict):
+            yield path, "not an object"
+            return
+        for name, x in value.items():
+            yield from _unlike(x, kind.valueType, f"{path}[{name!r}]")
+    elif not isinstance(value, _JSON[type(kind)]) or (isinstance(value, bool) and not isinstance(kind, T.BooleanType)):
+        yield path, f"not of type {kind.simpleString()}"
+
+
+def check(dumps: DataFrame) -> DataFrame:
+    """file_path, path, fault: where documents depart from dump_schema; no rows if they don't. One that isn't JSON, or has
+    a version of its shape that isn't known here, is one fault."""
+    schema = dump_schema()
+
+    def each(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        try:
+            document = _document(row["json"])
+        except CorruptFile as error:
+            yield {"file_path": row["file_path"], "path": "", "fault": str(error)}
+            return
+        for path, fault in _unlike(document, schema, ""):
+            yield {"file_path": row["file_path"], "path": path, "fault": fault}
+        about = document.get("_meta") if isinstance(document, dict) else None
+        if isinstance(about, dict) and about.get("format_version") != VERSIONS.get(about.get("model")):
+            yield {"file_path": row["file_path"], "path": "_meta.format_version", "fault": f"version {about.get('format_version')} of {about.get('model')} isn't known"}
+
+    return R._map(dumps, each, "file_path string, path string, fault string", 8)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import struct
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +188,24 @@ def test_codec_faults():
             decompress(b"not compressed at all", codec, 1000)
 
 
+def test_lzo_by_its_library(monkeypatch):
+    """A stand-in for the library, whose blocks are the bytes backwards."""
+
+    class error(Exception):  # noqa: N801
+        pass
+
+    def back(data, header, size):
+        if header or len(data) != size:
+            raise error("no block")
+        return data[::-1]
+
+    monkeypatch.setitem(sys.modules, "lzo", types.SimpleNamespace(decompress=back, error=error))
+    framed = b"".join(len(x).to_bytes(4, "big") * 2 + x for x in (b"cba", b"ed"))
+    assert decompress(b"cba", "LZO", 3) == b"abc" and decompress(framed, "LZO", 5) == b"abcde"
+    with pytest.raises(CorruptFile):
+        decompress(b"cba", "LZO", 9)
+
+
 @given(st.binary(max_size=300), st.sampled_from([0, 1, 2**64 - 1]))
 @settings(max_examples=200, deadline=None)
 def test_xxh64(data, seed):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pagescope.functions import blooms
 from pagescope.functions.sizes import human_bytes, shortened
 from pagescope.operators import metrics, nesting
 from pagescope.operators import relations as R
+from pagescope.plans.progress import progress
 from pagescope.plans.session import RELATIONS, Lens
 from pagescope.sources import dumps
 from pagescope.sources.ranges import Ranges
@@ -141,6 +143,44 @@ def test_command_line_refuses_unknown_columns(spark, path, capsys):
         assert told.out == "" and "no column nope" in told.err
 
 
+def test_schema_of_dumps(spark, path, bloomed, capsys, tmp_path):
+    for source in (path, bloomed):
+        whole = Lens(spark, source).dump()
+        assert dumps.check(whole).collect() == [] and dumps.check(dumps.metadata_only(whole)).collect() == []
+    text = Lens(spark, path).dump().first().json
+    row = spark.createDataFrame([(text,)], "json string").select(F.from_json("json", dumps.dump_schema()).alias("d")).select("d.*").first()
+    document = json.loads(text)
+    assert row.metadata.row_groups[1].column_chunks["id"].metadata.statistics.null_count == 0
+    assert row.column_chunks[0].data_pages[0].start_offset == document["column_chunks"][0]["data_pages"][0]["start_offset"]
+    assert json.loads(row.metadata.schema_root) == document["metadata"]["schema_root"]
+    document["metadata"]["row_groups"][0]["column_chunks"]["id"]["metadata"]["codec"] = None
+    document["metadata"]["row_count"] = "1000"
+    document |= {"more": 1, "_meta": document["_meta"] | {"format_version": 99}}
+    bad = spark.createDataFrame([("a", json.dumps(document)), ("b", "{"), ("c", "[]")], "file_path string, json string")
+    found = {(r.file_path, r.path): r.fault for r in dumps.check(bad).collect()}
+    assert found.pop(("b", "")).startswith("a dump that isn't JSON") and "99" in found.pop(("a", "_meta.format_version"))
+    assert found == {("a", "more"): "unknown", ("a", "metadata.row_count"): "not of type bigint", ("a", "metadata.row_groups[0].column_chunks['id'].metadata.codec"): "missing", ("c", ""): "not an object"}
+    assert main(["dump-schema"], spark) == 0
+    (tmp_path / "schema.json").write_text(capsys.readouterr().out)
+    assert main(["dump-schema", "--check", str(tmp_path / "schema.json")], spark) == 0
+    (tmp_path / "schema.json").write_text("{}")
+    assert main(["dump-schema", "--check", str(tmp_path / "schema.json")], spark) == 1
+    (tmp_path / "good.json").write_text(text)
+    (tmp_path / "bad.json").write_text(json.dumps(document))
+    assert main(["check-dump", str(tmp_path / "good.json")], spark) == 0 and capsys.readouterr().out == ""
+    assert main(["check-dump", str(tmp_path / "bad.json")], spark) == 1 and "unknown" in capsys.readouterr().out
+
+
+def test_progress(spark, path, capsys):
+    told = []
+    with progress(spark, lambda *step: told.append(step)):
+        spark.range(8, numPartitions=8).mapInPandas(lambda batches: (time.sleep(0.5) or b for b in batches), "id long").count()
+    assert told and all(phase.startswith("stage ") and 0 <= done <= total for phase, done, total in told)
+    assert any(total == 8 for _, _, total in told) and len({done for _, done, total in told if total == 8}) > 1
+    assert main(["--progress", "meta", path], spark) == 0 and "1000" in capsys.readouterr().out
+    assert main(["-v", "meta", path + "-none"], spark) == 1 and "Traceback" in capsys.readouterr().err
+
+
 def test_work_is_spread_whatever_adaptive_execution_does(spark, tmp_path):
     for i in range(12):
         pq.write_table(pa.table({"x": range(4000), "y": range(4000)}), tmp_path / f"{i}.parquet", use_dictionary=False, data_page_size=1024, write_batch_size=64)
