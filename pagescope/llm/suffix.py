@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, STEP_BYTES, cut, mix64, text_steps, tidy
+from .common import Rolling, STEP_BYTES, cut, mix64, tidy
 from .gsaca import suffix_array
 
 #: Bytes of a string that counts as repeated, and of the substrings that anchor one.
@@ -294,7 +294,8 @@ SPANS = "doc_key long, start long, end long"
 
 
 def _packed(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """doc_key, n_bytes, body (the text, compressed for its way) and the columns to carry."""
+    """doc_key (a number of the row), n_bytes, body (the text, compressed for its way) and the columns to carry, written
+    once: so the numbers are the same for all who read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -304,18 +305,31 @@ def _packed(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([len(t) for t in texts], pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], [*names, "n_bytes", "body"])
 
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("doc_key"), *carry)
+    rows = docs.select("text", F.monotonically_increasing_id().alias("doc_key"), *carry)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(tidy(run), f"{kinds}, n_bytes long, body binary")
+    return cut(rows.mapInArrow(tidy(run), f"{kinds}, n_bytes long, body binary"))
 
 
-def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _opened(bodies: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of neighbouring texts, some STEP_BYTES of them at a time."""
+    open_ = zstandard.ZstdDecompressor()
+    texts: list[bytes] = []
+    held = first = 0
+    for row, body in enumerate(bodies):
+        texts.append(open_.decompress(body.as_py()))
+        held += len(texts[-1])
+        if held >= STEP_BYTES or row + 1 == len(bodies):
+            yield first, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+            texts, held, first = [], 0, row + 1
+
+
+def _anchor_rows(packed: DataFrame, window: int, gram: int) -> DataFrame:
     """name, doc_key, low, high for the anchors of each text; name null: bytes low..high are covered already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch["doc_key"].to_numpy()
-            for row, _, data, offsets in text_steps(batch["text"]):
+            for row, data, offsets in _opened(batch["body"]):
                 text, name, low, high, start, end = anchors(data, offsets, window, gram)
                 own = np.searchsorted(offsets, start, side="right") - 1
                 doc = np.concatenate([text, own]).astype(np.int64)
@@ -323,7 +337,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 names = pa.array(np.concatenate([name, np.zeros(len(start), np.int64)]), mask=np.repeat([False, True], [len(name), len(start)]))
                 yield pa.RecordBatch.from_arrays([names, pa.array(keys[row + doc]), pa.array((np.concatenate([low, start]) - away).astype(np.int32)), pa.array((np.concatenate([high, end]) - away).astype(np.int32))], ["name", "doc_key", "low", "high"])
 
-    return docs.select("text", F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(tidy(run), "name long, doc_key long, low int, high int")
+    return packed.select("doc_key", "body").mapInArrow(tidy(run), "name long, doc_key long, low int, high int")
 
 
 def _stretches(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -447,10 +461,10 @@ def _hot(stretches: DataFrame, window: int, gram: int, hot: int) -> list[DataFra
         rows = _split(large, window, gram)
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(packed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """SPANS whose union are the bytes of each document that a string of `window` bytes covers which also starts
     anywhere else."""
-    rows = cut(_anchor_rows(docs, window, gram))
+    rows = cut(_anchor_rows(packed, window, gram))
     found = rows.where("name is null").select("doc_key", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("end"))
     named = rows.where("name is not null")
     twice = named.groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
@@ -478,7 +492,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = W
     doc_id and text are documents that repeat each other. Null doc_id: as any other. Empty table: no rows. Other
     columns are ignored unless carried."""
     packed = _packed(docs, carry)
-    spans = repeated_spans(docs, packed.select("doc_key", "body"), window, gram, hot)
+    spans = repeated_spans(packed.select("doc_key", "body"), window, gram, hot)
     spans = spans.groupBy("doc_key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_key", "key")
     joined = packed.join(spans, F.col("doc_key") == F.col("key"), "left").select(*carry, "n_bytes", "body", "spans")
 
