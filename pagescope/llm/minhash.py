@@ -17,6 +17,8 @@ from .components import components
 FUNCTIONS, BAND_ROWS = 100, 5
 #: Pairs of one verification group; classes and shingles of one block of a bucket.
 GROUP_PAIRS, BLOCK, BLOCK_SHINGLES = 1000, 2000, 400_000
+#: Tells the second half of a set's name from the first.
+CHECK_SEED = np.uint64(0xD1B54A32D192ED03)
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS) -> np.ndarray:
@@ -57,21 +59,23 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS)
 
 
 def described(docs: DataFrame, words: int, functions: int = FUNCTIONS) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_key (equal for equal sets only) and signature (bytes) of each row."""
+    """doc_id, text_key, n_shingles, digest and check (together 128 bits that name the set) and signature (bytes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_steps(batch["text"]):
                 sets, bounds = shingle_sets(data, offsets, words)
                 size = np.diff(bounds)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets))])
-                key = mix64(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64)).view(np.int64)
+                names = []
+                for seed in (np.uint64(0), CHECK_SEED):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ seed))])
+                    names.append(pa.array(mix64(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64)).view(np.int64)))
                 signed = signatures(sets, bounds, functions)
                 part = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(size.astype(np.int64)), pa.array(key), pa.array([s.tobytes() for s in signed], pa.binary())], ["doc_id", "text_key", "n_shingles", "set_key", "signature"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(size.astype(np.int64)), *names, pa.array([s.tobytes() for s in signed], pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "check", "signature"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, set_key long, signature binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, digest long, check long, signature binary")
 
 
 def _bands(functions: int, rows: int) -> Column:
@@ -211,7 +215,7 @@ def _across(rows: DataFrame, words: int, percent: int, functions: int, band_rows
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, functions: int = FUNCTIONS, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents; links: 100 * intersection >= percent * union.
 
-    Equal sets are one class. Each class is compared with the first class of each of its buckets (two classes
+    Equal sets (by 128 bits) are one class, set_key its number. Each class is compared with the first class of each of its buckets (two classes
     share a bucket if the signatures agree on a band) on full sets; links join classes to components. Where a
     bucket then still has classes of several components, the pairs across components are compared too, in the task
     that has them, so that no link that a bucket shows is lost. Pairs within a component can't change it and are skipped. A pair at the
@@ -222,7 +226,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
     sets. Empty table: no rows. Other columns are ignored."""
     slim = cut(described(docs, words, functions))
     usable = slim.where("doc_id is not null and n_shingles > 0")
-    classes = cut(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).select("set_key", "rep.doc_id", "rep.text_key", "n_shingles", "signature"))
+    sets = usable.groupBy("digest", "check").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = cut(sets.select(F.monotonically_increasing_id().alias("set_key"), "digest", "check", "rep.doc_id", "rep.text_key", "n_shingles", "signature"))  # numbered once, as they are written
     buckets = classes.select("set_key", F.posexplode(_bands(functions, band_rows)).alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("set_key").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     shared = cut(buckets.join(heads, "bucket"))  # classes that meet others
@@ -230,14 +235,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
     pairs = cut(shared.where("a <> set_key").select("a", F.col("set_key").alias("b")).distinct())
     links = cut(verified(pairs, _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("set_key"))), words, percent))
     rep = classes.select("set_key", "doc_id")
-    several = slim.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
-    own = usable.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "set_key").join(rep.withColumnRenamed("doc_id", "b"), "set_key").select("a", "b")
+    name = F.struct("digest", "check")
+    several = usable.groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select("doc_id")
+    named = classes.select("digest", "check", F.col("doc_id").alias("b"))
+    own = usable.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "digest", "check").join(named, ["digest", "check"]).select("a", "b")
 
     def joined(found: DataFrame) -> DataFrame:
-        """set_key, component of classes whose component has more than their first document."""
+        """set_key, digest, check, component of each class."""
         ids = found.join(rep.select(F.col("set_key").alias("a"), F.col("doc_id").alias("x")), "a").join(rep.select(F.col("set_key").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         parts = components(ids.unionByName(own))
-        return cut(rep.join(parts, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("component")))
+        firsts = classes.select("set_key", "digest", "check", "doc_id")
+        return cut(firsts.join(parts, F.col("doc_id") == F.col("node"), "left").select("set_key", "digest", "check", F.coalesce("component", "doc_id").alias("component")))
 
     labelled = joined(links)
     marked = own_buckets.join(labelled, "set_key").select("set_key", "component", F.inline("buckets"))
@@ -250,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, function
         found = cut(_across(rows, words, percent, functions, band_rows))
         if found.limit(1).count():
             labelled = joined(links.unionByName(found))
-    out = slim.join(labelled, "set_key", "left")
+    out = slim.join(labelled.drop("set_key"), ["digest", "check"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
