@@ -25,17 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8 or more): that with the smallest
     doc_id, once if its row is repeated. Several texts of one doc_id are documents by themselves; of those in one group
-    the one with the least hash stays. Documents without words or without doc_id are in no group and stay."""
-    keyed = docs.select(*COLUMNS, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("node"))
+    the one with the least hash stays. Documents without words or without doc_id are in no group and stay. Rows go by
+    numbers, which are written with them, so no two documents are taken for one."""
+    rows = cut(docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("node")))
+    keyed = rows.where("doc_id is not null")
     found = minhash.near_duplicates(keyed.select(F.col("node").alias("doc_id"), "text"), words=5, percent=80, band_rows=4)
-    nodes = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("size"), F.max("component_id").alias("component"))
-    named = cut(nodes.join(keyed.where("doc_id is not null").select("node", "doc_id").distinct(), "node"))
-    firsts = named.where("size > 0").groupBy("component").agg(F.min(F.struct("doc_id", "node"))["node"].alias("node")).select("node")
-    kept = cut(named.where("size > 0").join(firsts, "node", "left_semi").unionByName(named.where("size = 0")).select("node", "rows", "size"))
-    joined = keyed.join(kept, "node")
-    single = joined.where("rows = 1 or size = 0").select(*COLUMNS)
-    several = joined.where("rows > 1 and size > 0").groupBy("node").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return single.unionByName(several).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    found = cut(found.select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("component")))
+    order = F.struct("doc_id", "text_key", "lang", "source", "n_chars", "node")
+    grouped = keyed.select("doc_id", "text_key", "lang", "source", "n_chars", "node").join(found.where("n_shingles > 0"), "node")
+    firsts = grouped.groupBy("component").agg(F.min(order)["node"].alias("node")).select("node")
+    kept = cut(firsts.unionByName(found.where("n_shingles = 0").select("node")))
+    return keyed.join(kept, "node", "left_semi").select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
