@@ -242,6 +242,20 @@ def kinds_of(rows: DataFrame) -> list[Kind]:
     return [(r["type"], r["logical_type"] and r["logical_type"].asDict()) for r in found]
 
 
+def is_of(kind: str, logical: dict[str, Any] | None) -> Column:
+    """Whether a row's columns type and logical_type are these, as far as the order depends on them."""
+    own = (F.col("type") == kind) & F.col("logical_type.name").eqNullSafe(logical and logical["name"])
+    for part in ("unit", "scale", "is_signed"):
+        own &= F.col(f"logical_type.{part}").eqNullSafe(logical and logical[part])
+    return own
+
+
+def ordered_kinds(rows: DataFrame) -> list[tuple[Column, Callable[[Column], Column]]]:
+    """For each type among rows of chunks that has a known order: which rows are of it, and the key of a bound's bytes."""
+    found = [(is_of(kind, logical), order_of(kind, logical)) for kind, logical in kinds_of(rows)]
+    return [(own, order[0]) for own, order in found if order]
+
+
 def may_hold(low_bytes: Column, high_bytes: Column, kinds: list[Kind], low: Any, high: Any, trusted: Column | None = None) -> Column:
     """Whether rows with columns type and logical_type, among `kinds`, and with these bounds can hold a value in low..high
     (None: no limit). Bounds of bytes that are not `trusted` exclude nothing: the order of deprecated ones is undefined.
@@ -253,9 +267,7 @@ def may_hold(low_bytes: Column, high_bytes: Column, kinds: list[Kind], low: Any,
         return F.lit(True)
     outside = None
     for kind, logical in kinds:
-        own = (F.col("type") == kind) & F.col("logical_type.name").eqNullSafe(logical and logical["name"])
-        for part in ("unit", "scale", "is_signed"):
-            own &= F.col(f"logical_type.{part}").eqNullSafe(logical and logical[part])
+        own = is_of(kind, logical)
         excluded = _outside(low_bytes, high_bytes, kind, logical, low, high)
         if trusted is not None and kind in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY"):
             excluded &= trusted

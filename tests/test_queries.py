@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import datetime
 
+from pathlib import Path
+
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__
+from pagescope.operators import metrics
+from pagescope.plans.session import Lens
 
 SMOKE = __spark_entry__.SMOKE_DIR
 
@@ -28,6 +33,19 @@ def orders_of(folder, keys, customers=None, files=1):
     return folder
 
 
+@pytest.fixture(scope="module")
+def folders(tmp_path_factory):
+    """The smallest tables, each a folder of three files of other row groups, with equal file names."""
+    made = tmp_path_factory.mktemp("tables") / "sf"
+    for table in Path(SMOKE).glob("*.parquet"):
+        rows = pq.read_table(table)
+        (made / table.name).mkdir(parents=True)
+        for i in range(3):
+            start, end = i * len(rows) // 3, (i + 1) * len(rows) // 3
+            pq.write_table(rows.slice(start, end - start), made / table.name / f"part-{i:04}.parquet", row_group_size=max(1, len(rows) // 7))
+    return made
+
+
 def test_nested_assembly_joins_written_streams(spark):
     found = ran(spark, "assemble_nested", SMOKE)
     assert "MapInArrow" not in found._jdf.queryExecution().toString()  # the joins' plan holds no steps from the listing on
@@ -54,8 +72,6 @@ def test_row_index_to_page_of_several_row_groups(spark, tmp_path):
 
 
 def test_bloom_filters_grow_with_the_keys(spark, tmp_path, monkeypatch):
-    from pathlib import Path
-
     from pagescope import written
 
     monkeypatch.setattr(written, "FILTER_KEYS", 100, raising=False)
@@ -66,3 +82,24 @@ def test_bloom_filters_grow_with_the_keys(spark, tmp_path, monkeypatch):
     assert len(list(made.glob("*.parquet"))) == 5
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()  # blocks and values pass through no single process
     assert {(r["k"], r["might"]) for r in found.collect()} == {(k, k % 2 == 0) for k in range(900)}
+
+
+@pytest.mark.parametrize("name", ["chunk_minmax", "chunk_minmax_double"])
+def test_bounds_over_all_chunks(spark, folders, name):
+    found = ran(spark, name, folders)
+    assert sorted(map(str, found.collect())) == sorted(map(str, ran(spark, name, SMOKE).collect()))
+
+
+def test_bounds_go_by_the_type_and_tell_what_they_lack(spark, tmp_path):
+    for i, (n, text) in enumerate([(9, "b"), (10, "a"), (-2, None)]):
+        pq.write_table(pa.table({"n": pa.array([n], pa.int64()), "text": pa.array([text], pa.string()), "bare": [n]}), tmp_path / f"{i}.parquet", write_statistics=["n", "text"])
+    found = {r["column_path"]: (r["min"], r["max"], r["null_count"], r["known"]) for r in metrics.column_bounds_text(Lens(spark, str(tmp_path)).chunks).collect()}
+    assert found["n"] == ("-2", "10", 0, True) and found["text"] == ("a", "b", 1, True) and not found["bare"][3]
+
+
+def test_bounds_without_statistics_come_from_values(spark, folders, tmp_path):
+    (tmp_path / "sf").mkdir()
+    for table in Path(SMOKE).glob("*.parquet"):
+        pq.write_table(pq.read_table(table), tmp_path / "sf" / table.name, write_statistics=False)
+    for name in ("chunk_minmax", "chunk_minmax_double", "chunk_null_counts"):
+        assert sorted(map(str, ran(spark, name, tmp_path / "sf").collect())) == sorted(map(str, ran(spark, name, SMOKE).collect())), name
