@@ -48,7 +48,9 @@ def folders(tmp_path_factory):
 
 def test_nested_assembly_joins_written_streams(spark):
     found = ran(spark, "assemble_nested", SMOKE)
-    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # the joins' plan holds no steps from the listing on
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # the joins' plan holds no steps from the listing on
+    assert "BroadcastHashJoin" not in plan
     assert found.count() == spark.read.parquet(f"{SMOKE}/orders.parquet").count()
 
 
